@@ -7,13 +7,19 @@ and looked up afterwards; ids of a slice of texts are gathered with numpy.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import regex
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a task remembers; the cache starts anew beyond it.
 CACHE_CHUNKS = 500_000
 
+#: The vocabulary's own pre-tokenizer (a fixed value of its file).
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
 
 def default_path(name: str = TOKENIZER) -> str:
     """Place of an installed public vocabulary file."""
@@ -26,6 +32,8 @@ class ChunkTokenizer:
     """Ids of texts by a ``tokenizers`` file whose pre-tokenizer drops white space."""
 
     def __init__(self, path: str, encode_special: bool = False):
+        # executors run one task a core; threads of the library only add work
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,13 +42,26 @@ class ChunkTokenizer:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.start = np.zeros(1024, dtype=np.int64)
         self.length = np.zeros(1024, dtype=np.int64)
         self.flat = np.zeros(4096, dtype=np.int32)
         self.used = 0
 
+    @staticmethod
+    def _split(chunk: str) -> list[str]:
+        """Parts that are encoded one by one, so that ``word`` and ``Word,`` share work.
+
+        Below U+0130 lower-casing goes letter by letter and text is in NFC; a
+        chunk with other characters, or one that may hold a special token, stays whole.
+        """
+        return [chunk] if "<|" in chunk or max(chunk) >= "\u0130" else _PARTS.findall(chunk.lower())
+
     def _learn(self, chunks: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        split = [self._split(c.decode("utf-8", "replace")) for c in chunks]
+        new = list({p for parts in split for p in parts if p not in self.parts})
+        self.parts.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
+        found = [[i for p in parts for i in self.parts[p]] for parts in split]
         n = len(self.known)
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         while n + len(found) > len(self.start):
