@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .storage import keep_columns, materialize
 from .text import slices
-from .tokens import ChunkTokenizer, default_path, int_array
+from .tokens import default_path, int_array, shared_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     path = tokenizer or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkTokenizer(path)
+        encoder = shared_tokenizer(path)
         for batch in batches:
             for part, data, off in slices(batch, "text"):
                 ids, at = encoder.encode(data, off, end_id)

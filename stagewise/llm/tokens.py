@@ -14,8 +14,8 @@ import pyarrow as pa
 import regex
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks that a task remembers; the cache starts anew beyond it.
-CACHE_CHUNKS = 500_000
+#: Chunks that a Python worker remembers from task to task; beyond it the cache starts anew.
+CACHE_CHUNKS = 600_000
 
 #: The vocabulary's own pre-tokenizer (a fixed value of its file).
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -100,5 +100,16 @@ class ChunkTokenizer:
         return out, offsets
 
 
+_encoders: dict[tuple[str, bool], ChunkTokenizer] = {}
+
+
+def shared_tokenizer(path: str, encode_special: bool = False) -> ChunkTokenizer:
+    """The worker's tokenizer for a file, with what earlier tasks have looked up."""
+    key = (path, encode_special)
+    if key not in _encoders:
+        _encoders[key] = ChunkTokenizer(path, encode_special)
+    return _encoders[key]
+
+
 def int_array(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))
