@@ -76,13 +76,13 @@ class Template:
             self.kind, self.bounds = np.empty(0, np.int64), np.zeros(len(off), np.int64)
             return
         first = data[words.start]
-        second = data[np.minimum(words.start + 1, len(data) - 1)]
+        second, third, fourth = (data[np.minimum(words.start + k, len(data) - 1)] for k in (1, 2, 3))
         kind = np.where((first >= 48) & (first <= 57), 1, 0)
         kind[np.isin(words.hash, _UNIT_HASHES)] = 2
         ends = np.append(0, np.cumsum(_ENDS[data]))
         inside = np.zeros(n, dtype=bool)
         inside[1:] = (doc[1:] == doc[:-1]) & (ends[words.start[1:]] == ends[words.end[:-1]])
-        capital = ((first >= 65) & (first <= 90) & (second >= 97) & (second <= 122)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+        capital = ((first >= 65) & (first <= 90) & (second >= 97) & (second <= 122)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (((third >= 97) & (third <= 122)) | ((third == 0xC3) & (fourth >= 0xA0))))
         kind[inside & capital & (words.end - words.start > 1) & (kind == 0)] = 3
         keep = np.ones(n, dtype=bool)
         keep[1:] = ~((kind[1:] == 1) & (kind[:-1] == 1) & (doc[1:] == doc[:-1]))
