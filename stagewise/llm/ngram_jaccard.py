@@ -12,12 +12,14 @@ Empty partitions give no signature on their own, as they would be shared by
 strangers: since two partitions agree, an agreeing one is filled unless both
 sets have two empty ones, and such pairs of empty partitions are enumerated.
 
-Signatures that one set alone has are dropped. The others form groups, joined
-in rounds: in each round some members of a group are hubs, every member of
-another component is verified against them with the exact sets, and the links
-are merged into components. The number of hubs grows from round to round, so
-that a group ends when it lies in one component or all its members were hubs;
-no link is lost and no group is ever expanded into all its pairs at once.
+Signatures that one set alone has are dropped. The others form groups. In each
+of a few rounds a group has one hub, a member of its largest component, and the
+members of other components are verified against it with the exact sets; links
+merge components. A group that still has several components then compares all
+members outside its largest one with all its members, in tiles of bounded size
+and by 512-bit parity sketches, which bound the difference of two sets from
+below; only pairs that the bound allows leave a tile and are verified. So no
+link between components is lost, and no group is expanded into its pairs.
 
 Edge cases: null or blank texts have no words, an empty set, n_shingles 0 and
 their own component; shorter texts than a shingle are one shingle; equal sets
@@ -31,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,7 +114,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, width: int, with_sets: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, set_id[, shingles]) of every document."""
+    """(doc_id, n_shingles, set_id[, sketch, shingles]) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +122,11 @@ def document_sets(docs: DataFrame, width: int, with_sets: bool = False) -> DataF
                 values, at = shingle_sets(Words(data, off, lower=True), width)
                 columns = [part.column("doc_id"), pa.array(np.diff(at)), _as_long(_set_ids(values, at))]
                 if with_sets:
+                    columns.append(pa.array([x.tobytes() for x in _sketches(values, at)], pa.binary()))
                     columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _as_long(values)))
-                yield pa.record_batch(columns, ["doc_id", "n_shingles", "set_id"] + ["shingles"] * with_sets)
+                yield pa.record_batch(columns, ["doc_id", "n_shingles", "set_id"] + ["sketch", "shingles"] * with_sets)
 
-    return keep_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint" + ", shingles array<bigint>" * with_sets)
+    return keep_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint" + ", sketch binary, shingles array<bigint>" * with_sets)
 
 
 def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -157,45 +161,110 @@ def repeated_rows(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("many", F.count("*").over(w) > 1).where("many or repeated").drop("many", "salt", "repeated")
 
 
-#: Hubs of a group in the first round, and how many times more in each next round.
-FIRST_HUBS, HUB_GROWTH = 1, 8
+#: Rounds with one hub a group, before what is left is compared in tiles; sets of a tile's side.
+HUB_ROUNDS, TILE = 3, 1024
+SKETCH_WORDS = 8
+
+
+def _sketches(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """512 parity bits a set: two sets differ in at least as many elements as sketches do in bits."""
+    bits = np.zeros((len(off) - 1) * SKETCH_WORDS * 64, dtype=np.int64)
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    np.add.at(bits, owner * SKETCH_WORDS * 64 + (mix(values) >> np.uint64(55)).astype(np.int64), 1)
+    packed = np.packbits((bits & 1).astype(np.uint8))
+    return packed.reshape(len(off) - 1, SKETCH_WORDS * 8)
+
+
+def _tile_pairs(percent: int):
+    """Pairs of a group's stragglers and members that sizes and sketches allow to be links."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for _, t in rows.groupby("tile", sort=False):
+            left = t["straggler"].to_numpy()
+            if left.all() or not left.any():
+                continue
+            ids, component, n = t["set_id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy()
+            sketch = np.frombuffer(b"".join(t["sketch"]), dtype=np.uint64).reshape(len(t), SKETCH_WORDS)
+            x, y = np.flatnonzero(left), np.flatnonzero(~left)
+            for i in x:
+                apart = np.bitwise_count(sketch[y] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                fine = (apart * (100 + percent) <= (n[y] + n[i]) * (100 - percent)) & (component[y] != component[i]) & (np.minimum(n[y], n[i]) * 100 >= np.maximum(n[y], n[i]) * percent)
+                hit = ids[y[fine]]
+                out_a.append(np.minimum(hit, ids[i]))
+                out_b.append(np.maximum(hit, ids[i]))
+        if not out_a:
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+
+    return compare
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links: sketches first, then the exact sets of those that remain."""
+    brief = sets.select("set_id", F.col("n_shingles").alias("n"), "sketch")
+    both = pairs.join(brief.toDF("a", "na", "ka"), "a").join(brief.toDF("b", "nb", "kb"), "b")
+    both = both.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+
+    def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in parts:
+            if t.num_rows:
+                ka, kb = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS) for c in ("ka", "kb"))
+                apart = np.bitwise_count(ka ^ kb).sum(axis=1, dtype=np.int64)
+                fine = apart * (100 + percent) <= (np.asarray(t.column("na")) + np.asarray(t.column("nb"))) * (100 - percent)
+                yield pa.record_batch([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(fine))
+
+    left = both.mapInArrow(near, "a bigint, b bigint")
+    full = sets.select("set_id", F.col("n_shingles").alias("n"), "shingles")
+    exact = left.join(full.toDF("a", "na", "sa"), "a").join(full.toDF("b", "nb", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
+    return exact.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
 def linked_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(set_id, component) of sets that share a signature group with a linked set.
 
-    members: (signature, set_id); sets: (set_id, n_shingles, shingles).
+    members: (signature, set_id); sets: (set_id, n_shingles, sketch, shingles).
     """
-    spark = members.sparkSession
-    links, found = None, None
-    hubs, before = FIRST_HUBS, 0
     members = materialize(members.distinct(), "members")
-    while True:
-        here = members
-        if found is not None:
-            labelled = members.join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-            spread = labelled.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("signature")
-            here = materialize(labelled.join(spread, "signature"), "open")
-        else:
-            here = members.withColumn("component", F.col("set_id"))
-        # the order of members is another in each group, so that hubs differ
-        ranked = here.withColumn("turn", F.xxhash64("signature", "set_id"))
-        if hubs == 1:
-            chosen = ranked.groupBy("signature").agg(F.min_by(F.struct("set_id", "component"), "turn").alias("hub"))
-        else:
-            w = Window.partitionBy("signature").orderBy("turn", "set_id")
-            chosen = ranked.withColumn("place", F.row_number().over(w)).where((F.col("place") > before) & (F.col("place") <= before + hubs)).select("signature", F.struct("set_id", "component").alias("hub"))
-        if found is not None and chosen.isEmpty():
-            break
-        pairs = here.join(chosen, "signature").where("component <> hub.component").select(F.least("set_id", F.col("hub.set_id")).alias("a"), F.greatest("set_id", F.col("hub.set_id")).alias("b")).distinct()
-        sizes = sets.select("set_id", F.col("n_shingles").alias("n"), "shingles")
-        left = pairs.join(sizes.toDF("a", "na", "sa"), "a")
-        both = left.join(sizes.toDF("b", "nb", "sb"), "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-        new = both.withColumn("common", common).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
+    links = found = None
+
+    def still_open() -> DataFrame:
+        if found is None:
+            return members.withColumn("component", F.col("set_id"))
+        labelled = members.join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        spread = labelled.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("signature")
+        return materialize(labelled.join(spread, "signature"), "open")
+
+    def merge(new: DataFrame) -> None:
+        nonlocal links, found
         links = materialize(new if links is None else links.union(new), "links")
         found = materialize(connected_components(links).withColumnsRenamed({"node": "set_id"}), "classes")
-        before, hubs = before + hubs, hubs * HUB_GROWTH
+
+    for turn in range(HUB_ROUNDS):
+        here = still_open()
+        # one hub of the group's largest component; a common order, so that groups share hubs and pairs
+        parts = here.groupBy("signature", "component").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("hub"))
+        order = F.struct("n", F.xxhash64("hub", F.lit(turn)))
+        chosen = parts.groupBy("signature").agg(F.max_by(F.struct("hub", "component"), order).alias("hub"))
+        pairs = here.join(chosen, "signature").where("component <> hub.component").select(F.least("set_id", "hub.hub").alias("a"), F.greatest("set_id", "hub.hub").alias("b")).distinct()
+        merge(_verified(pairs, sets, percent))
+    here = still_open()
+    if here.isEmpty():
+        return found
+    # all other pairs between components: those outside a group's largest component against all its members
+    parts = here.groupBy("signature", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("signature").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    marked = here.join(largest, "signature").join(sets.select("set_id", F.col("n_shingles").alias("n"), "sketch"), "set_id")
+    marked = marked.withColumn("rows", F.ceil(F.col("size") / TILE).cast("int")).withColumn("columns", F.ceil((F.col("size") - F.col("most")) / TILE).cast("int"))
+    # a member meets every block of stragglers, a straggler every block of members; it is a member as well
+    block = F.pmod(F.xxhash64("set_id"), F.col("rows")).cast("int")
+    group = F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("columns")).cast("int")
+    as_member = marked.withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("line", block).withColumn("straggler", F.lit(False))
+    as_straggler = marked.where("component <> main").withColumn("line", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("column", group).withColumn("straggler", F.lit(True))
+    tiled = as_member.unionByName(as_straggler).withColumn("tile", F.xxhash64("signature", "line", "column"))
+    key = F.when(F.col("rows") * F.col("columns") == 1, F.pmod(F.xxhash64("signature"), F.lit(512))).otherwise(F.col("tile"))
+    rest = tiled.select(key.alias("key"), "tile", "set_id", "component", "n", "sketch", "straggler").groupBy("key").applyInPandas(_tile_pairs(percent), "a bigint, b bigint").distinct()
+    merge(_verified(materialize(rest, "pairs"), sets, percent))
     return found
 
 
