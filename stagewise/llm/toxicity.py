@@ -84,7 +84,10 @@ class Tokens:
             at = np.flatnonzero(first)
             run = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
             first |= run % CHAIN_WORDS == 0
-        at = np.flatnonzero(first)
+        self._order(np.flatnonzero(first))
+
+    def _order(self, at: np.ndarray) -> None:
+        n = len(self.doc)
         length = np.diff(np.append(at, n))
         order = np.argsort(-length, kind="stable")
         self.chain, self.length = at[order], length[order]
@@ -92,6 +95,20 @@ class Tokens:
         self.alive = np.searchsorted(-self.length, -np.arange(1, (self.length[0] if n else 0) + 1), side="right")
 
 
+def _joined(texts: list[str | None]) -> Tokens:
+    """Tokens of a list of texts, hashed slice by slice so that memory follows the tokens alone."""
+    parts, docs, at, starts = [], 0, 0, []
+    for part, data, off in slices(pa.record_batch([pa.array(texts, pa.large_string())], ["text"]), "text"):
+        t = Tokens(data, off)
+        starts.append(np.sort(t.chain) + at)
+        parts.append((t.features, t.doc + docs))
+        docs, at = docs + part.num_rows, at + len(t.doc)
+    whole = Tokens.__new__(Tokens)
+    whole.features, whole.doc = np.concatenate([f for f, _ in parts], axis=1), np.concatenate([d for _, d in parts])
+    whole._order(np.concatenate(starts))
+    return whole
+
+
 def _marginals(tokens: Tokens, emission: np.ndarray, transitions: np.ndarray, pairs: bool = False):
     """Probability of the toxic state for each token; expected transition counts if asked."""
     n = len(emission)
@@ -144,30 +161,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def _one_of_each_copy(words: Words) -> np.ndarray:
+def _one_of_each_copy(texts: list[str | None]) -> np.ndarray:
     """Numbers of sampled documents, near copies of an earlier one left out.
 
     Copies would let any rare word of one toxic text look tied to the label.
     Five bands of three min-hashes of word triples find them.
     """
-    docs = len(words.bounds) - 1
-    first, n = words.bounds[:-1], np.maximum(np.diff(words.bounds) - 2, 0)
-    at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    value = window_hashes(words.hash, at, 3)
-    some = np.flatnonzero(n)
-    keep = np.ones(docs, dtype=bool)
-    if not len(some):
-        return np.flatnonzero(keep)
-    edges = (np.cumsum(n) - n)[some]
-    for band in range(5):
-        key = np.zeros(len(some), dtype=np.uint64)
-        for i in range(3):
-            least = np.minimum.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D * (3 * band + i + 1) % (1 << 64))), edges)
-            key = mix(key ^ least)
-        _, leader = np.unique(key, return_index=True)
-        later = np.ones(len(some), dtype=bool)
+    keys = []
+    for _, data, off in slices(pa.record_batch([pa.array(texts, pa.large_string())], ["text"]), "text"):
+        words = Words(data, off, lower=True)
+        n = np.maximum(np.diff(words.bounds) - 2, 0)
+        at = np.repeat(words.bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        value, some = window_hashes(words.hash, at, 3), np.flatnonzero(n)
+        edges = (np.cumsum(n) - n)[some]
+        key = np.zeros((5, len(n)), dtype=np.uint64)
+        for i in range(15 if len(some) else 0):
+            least = np.minimum.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D * (i + 1) % (1 << 64))), edges)
+            key[i // 3, some] = mix(key[i // 3, some] ^ least)
+        keys.append(key)
+    every = np.concatenate(keys, axis=1)
+    keep = np.ones(every.shape[1], dtype=bool)
+    for band in every:
+        _, leader = np.unique(band, return_index=True)
+        later = band != 0
         later[leader] = False
-        keep[some[later]] = False
+        keep &= ~later
     return np.flatnonzero(keep)
 
 
@@ -176,13 +194,11 @@ def train(texts: list[str | None], toxic: list[int], share: tuple[float, float]
     y = np.asarray(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return CrfModel(np.zeros(BUCKETS, np.float32), np.zeros((2, 2)), np.array([-30.0, 0, 0, 0]), False)
-    _, data, off = next(slices(pa.record_batch([pa.array(texts, pa.large_string())], ["text"]), "text", limit=1 << 62))
-    kept = _one_of_each_copy(Words(data, off, lower=True))
+    kept = _one_of_each_copy(texts)
     y = y[kept]
     if y.min() == y.max():
         return CrfModel(np.zeros(BUCKETS, np.float32), np.zeros((2, 2)), np.array([-30.0, 0, 0, 0]), False)
-    _, data, off = next(slices(pa.record_batch([pa.array([texts[i] for i in kept], pa.large_string())], ["text"]), "text", limit=1 << 62))
-    tokens, docs = Tokens(data, off), len(y)
+    tokens, docs = _joined([texts[i] for i in kept]), len(y)
     # token labels: features tied to toxic documents, counted once a document
     weight = np.where(y == 1, 1 / max(share[1], 1e-9), 1 / max(share[0], 1e-9))
     weight *= docs / weight.sum()
