@@ -15,7 +15,8 @@ sets have two empty ones, and such pairs of empty partitions are enumerated.
 Signatures that one set alone has are dropped. The others form groups. In each
 of a few rounds a group has one hub, a member of its largest component, and the
 members of other components are verified against it with the exact sets; links
-merge components. A group that still has several components then compares all
+merge components, and the hub, now compared with all it could link to, leaves
+its group. A group that still has several components then compares all
 members outside its largest one with all its members, in tiles of bounded size
 and by 512-bit parity sketches, which bound the difference of two sets from
 below; only pairs that the bound allows leave a tile and are verified. So no
@@ -228,27 +229,30 @@ def linked_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = materialize(members.distinct(), "members")
     links = found = None
 
-    def still_open() -> DataFrame:
+    def still_open(members: DataFrame) -> DataFrame:
         if found is None:
             return members.withColumn("component", F.col("set_id"))
-        labelled = members.join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        labelled = members.select("signature", "set_id").join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         spread = labelled.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("signature")
         return materialize(labelled.join(spread, "signature"), "open")
 
     def merge(new: DataFrame) -> None:
         nonlocal links, found
-        links = materialize(new if links is None else links.union(new), "links")
-        found = materialize(connected_components(links).withColumnsRenamed({"node": "set_id"}), "classes")
+        new = materialize(new, "links")
+        if found is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            found = materialize(connected_components(links).withColumnsRenamed({"node": "set_id"}), "classes")
 
+    here = still_open(members)
     for turn in range(HUB_ROUNDS):
-        here = still_open()
         # one hub of the group's largest component; a common order, so that groups share hubs and pairs
         parts = here.groupBy("signature", "component").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("hub"))
         order = F.struct("n", F.xxhash64("hub", F.lit(turn)))
-        chosen = parts.groupBy("signature").agg(F.max_by(F.struct("hub", "component"), order).alias("hub"))
+        chosen = materialize(parts.groupBy("signature").agg(F.max_by(F.struct("hub", "component"), order).alias("hub")), "hubs")
         pairs = here.join(chosen, "signature").where("component <> hub.component").select(F.least("set_id", "hub.hub").alias("a"), F.greatest("set_id", "hub.hub").alias("b")).distinct()
         merge(_verified(pairs, sets, percent))
-    here = still_open()
+        # a hub has met all members outside its component: its group needs it no more
+        here = still_open(here.join(chosen, "signature").where("set_id <> hub.hub"))
     if here.isEmpty():
         return found
     # all other pairs between components: those outside a group's largest component against all its members
