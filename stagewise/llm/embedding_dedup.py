@@ -94,8 +94,8 @@ def _nearest(edges: DataFrame, saturated_at: float) -> DataFrame:
     """The nearest ``NEIGHBOURS`` of each node, twice as many where all of them are links."""
     one = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
     ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("place") <= 2 * NEIGHBOURS)
-    full = ranked.where((F.col("place") == NEIGHBOURS) & (F.col("sim") >= saturated_at)).select("a", F.lit(True).alias("full"))
-    return ranked.join(full, "a", "left").where((F.col("place") <= NEIGHBOURS) | F.coalesce("full", F.lit(False))).select("a", "b", "sim")
+    full = F.max((F.col("place") == NEIGHBOURS) & (F.col("sim") >= saturated_at)).over(Window.partitionBy("a"))
+    return ranked.withColumn("full", full).where((F.col("place") <= NEIGHBOURS) | F.col("full")).select("a", "b", "sim")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -122,8 +122,10 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     pairs = around.join(other, "a").where("b < c").select(F.col("b").alias("a"), F.col("c").alias("b")).distinct()
     known = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     new = _similar(pairs.join(known, ["a", "b"], "left_anti"), nodes)
-    both = new.union(new.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return _nearest(graph.union(both.where("sim >= 0.7")), threshold)
+    # both directions of a pair from one row, so that no cosine is computed twice
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = new.where("sim >= 0.7").select(ends.alias("pair"), "sim").select("pair.a", "pair.b", "sim")
+    return _nearest(graph.union(both), threshold)
 
 
 def _tile_links(threshold: float):
