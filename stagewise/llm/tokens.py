@@ -8,17 +8,28 @@ and looked up afterwards; ids of a slice of texts are gathered with numpy.
 from __future__ import annotations
 
 import os
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 import regex
 
+from .text import Words
+
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a Python worker remembers from task to task; beyond it the cache starts anew.
 CACHE_CHUNKS = 600_000
+#: Parts encoded in one call, which bounds the library's objects.
+ENCODE_AT_ONCE = 4096
 
 #: The vocabulary's own pre-tokenizer (a fixed value of its file).
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Stands between chunks that are split together.
+_BREAK = "\n"
 
 
 def default_path(name: str = TOKENIZER) -> str:
@@ -28,6 +39,31 @@ def default_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Runs:
+    """Numbered runs of ids in one growing flat array."""
+
+    def __init__(self):
+        self.start, self.length, self.flat = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype=np.int32)
+        self.count = self.used = 0
+
+    def add(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        n, used = self.count + len(lengths), self.used + len(ids)
+        if n > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * n), np.resize(self.length, 2 * n)
+        if used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * used)
+        self.length[self.count : n] = lengths
+        self.start[self.count : n] = self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : used] = ids
+        self.count, self.used = n, used
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs one after another, and their n+1 offsets."""
+        lengths = self.length[which]
+        ends = np.append(0, np.cumsum(lengths))
+        return self.flat[np.repeat(self.start[which] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
 class ChunkTokenizer:
     """Ids of texts by a ``tokenizers`` file whose pre-tokenizer drops white space."""
 
@@ -38,60 +74,69 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = encode_special
+        self.merge = self.tokenizer.model.tokenize
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.start = np.zeros(1024, dtype=np.int64)
-        self.length = np.zeros(1024, dtype=np.int64)
-        self.flat = np.zeros(4096, dtype=np.int32)
-        self.used = 0
-
-    @staticmethod
-    def _split(chunk: str) -> list[str]:
-        """Parts that are encoded one by one, so that ``word`` and ``Word,`` share work.
-
-        Below U+0130 lower-casing goes letter by letter and text is in NFC; a
-        chunk with other characters, or one that may hold a special token, stays whole.
-        """
-        return [chunk] if "<|" in chunk or max(chunk) >= "\u0130" else _PARTS.findall(chunk.lower())
+        self.parts: dict[str, int] = {_BREAK: 0}
+        self.chunk_ids, self.part_ids = _Runs(), _Runs()
+        self.part_ids.add(np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32))
+
+    def _part_numbers(self, texts: list[str], split: bool) -> np.ndarray:
+        """Numbers of parts; those not met before are encoded, split ones by the model alone."""
+        parts = self.parts
+        new = list({p for p in texts if p not in parts})
+        for i in range(0, len(new), ENCODE_AT_ONCE):
+            some = new[i : i + ENCODE_AT_ONCE]
+            if split:
+                found = [[t.id for t in self.merge(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_CHARS))] for p in some]
+            else:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self.part_ids.add(lengths, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum())))
+            parts.update(zip(some, range(len(parts), len(parts) + len(some))))
+        return np.fromiter(map(parts.__getitem__, texts), dtype=np.int64, count=len(texts))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        split = [self._split(c.decode("utf-8", "replace")) for c in chunks]
-        new = list({p for parts in split for p in parts if p not in self.parts})
-        self.parts.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        found = [[i for p in parts for i in self.parts[p]] for parts in split]
-        n = len(self.known)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        while n + len(found) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        total = int(lengths.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.length[n : n + len(found)] = lengths
-        self.start[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=total)
-        self.used += total
-        self.known.update(zip(chunks, range(n, n + len(found))))
+        """Look up chunks by parts, so that ``word`` and ``Word,`` share work.
+
+        Below U+0100 lower-casing goes letter by letter and text is in NFC; a
+        chunk with other characters, or one that may hold a special token, is one part.
+        """
+        whole = [b"<|" in c or max(c) >= 0xC4 for c in chunks]
+        for some, split in ((list(compress(chunks, map(not_, whole))), True), (list(compress(chunks, whole)), False)):
+            if not some:
+                continue
+            if split:
+                # no chunk holds a line end, so that it can stand between chunks
+                parts = _PARTS.findall(_BREAK.join([c.decode("utf-8", "replace") for c in some]).lower())
+                number = self._part_numbers(parts, True)
+                breaks = np.flatnonzero(number == 0)
+                counts = np.diff(np.concatenate([[-1], breaks, [len(number)]])) - 1
+                number = number[number > 0]
+            else:
+                number, counts = self._part_numbers([c.decode("utf-8", "replace") for c in some], False), np.ones(len(some), dtype=np.int64)
+            ids, ends = self.part_ids.take(number)
+            self.chunk_ids.add(np.diff(ends[np.append(0, np.cumsum(counts))]), ids)
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice with ``end_id`` after each, and n+1 offsets."""
         if len(self.known) > CACHE_CHUNKS:
             self._forget()
-        raw, bounds = data.tobytes(), off.tolist()
-        chunks = [raw[a:b].split() for a, b in zip(bounds, bounds[1:])]
-        known = self.known
-        new = {c for part in chunks for c in part if c not in known}
+        # equal chunks of the slice are looked up once
+        words = Words(data, off, lower=False)
+        _, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
+        raw, known = data.tobytes(), self.known
+        chunks = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
+        new = [c for c in chunks if c not in known]
         if new:
-            self._learn(list(new))
-        counts = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        which = np.fromiter((known[c] for part in chunks for c in part), dtype=np.int64, count=int(counts.sum()))
-        lengths = self.length[which]
-        ends = np.append(0, np.cumsum(lengths))
-        ids = self.flat[np.repeat(self.start[which] - ends[:-1], lengths) + np.arange(ends[-1])]
-        before = ends[np.append(0, np.cumsum(counts))]
-        out = np.empty(len(ids) + len(chunks), dtype=np.int32)
+            self._learn(new)
+        which = np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        ids, ends = self.chunk_ids.take(which[place])
+        before = ends[words.bounds]
+        out = np.empty(len(ids) + len(off) - 1, dtype=np.int32)
         offsets = before + np.arange(len(before))
         last = offsets[1:] - 1
         mask = np.ones(len(out), dtype=bool)
