@@ -227,7 +227,7 @@ def linked_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members: (signature, set_id); sets: (set_id, n_shingles, sketch, shingles).
     """
     members = materialize(members.distinct(), "members")
-    links = found = None
+    found = None
 
     def still_open(members: DataFrame) -> DataFrame:
         if found is None:
@@ -237,11 +237,12 @@ def linked_sets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return materialize(labelled.join(spread, "signature"), "open")
 
     def merge(new: DataFrame) -> None:
-        nonlocal links, found
+        nonlocal found
         new = materialize(new, "links")
         if found is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            found = materialize(connected_components(links).withColumnsRenamed({"node": "set_id"}), "classes")
+            # classes so far are stars already; new links only join them
+            edges = new if found is None else new.union(found.where("set_id <> component").select("set_id", "component"))
+            found = materialize(connected_components(edges).withColumnsRenamed({"node": "set_id"}), "classes")
 
     here = still_open(members)
     for turn in range(HUB_ROUNDS):
