@@ -250,3 +250,17 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40}
     assert connected_components(edges.where("false")).isEmpty()
+
+
+def test_chunk_tokenizer_gives_the_library_ids():
+    rng = random.Random(5)
+    pieces = [chr(i) for i in range(0x131)] + list("aA'sSt1 \n\t") * 8 + ["<|endoftext|>", "\u0301", "\u03a3", "\u03c2", "\u2003", "\U0001f600", "'LL", "e\u0301"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(4000)] + ["", " ", "a" * 5000]
+    encoder = tokens.ChunkTokenizer(tokens.default_path())
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        raw = [t.encode() for t in some]
+        data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
+        ids, bounds = encoder.encode(data, off, 1)
+        for i, t in enumerate(some):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1]
