@@ -5,10 +5,13 @@ The neighbour graph starts from random-hyperplane sort orders: vectors sorted by
 their sign codes are near their neighbours, and each takes the nearest of a few
 that follow it. NN-descent then joins neighbours of neighbours (both directions)
 and keeps each node's nearest; a list that is full of links is saturated and may
-hold twice as many in the next round. Edges at or above the threshold remain.
+hold twice as many in the next round. Lists only steer the search: every edge
+found at or above the threshold is kept for the components, whatever its rank.
 
-A list that is still saturated is completed exactly: the vectors of a connected
-component are multiplied in tiles of bounded size, which counts every direct
+What saturated lists can't hold is completed exactly. A component with a
+saturated node is compared, in tiles of bounded size, with every vector of its
+label outside it that the triangle inequality lets link with it. The vectors of
+a connected component are then multiplied in tiles, which counts every direct
 link inside it without listing pairs. A stated set of query vectors is compared
 with all vectors; while less than ``RECALL`` of their true links were found,
 more sort orders and rounds follow.
@@ -22,7 +25,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import keep_columns, materialize
+from .storage import keep_columns, materialize, small
 
 THRESHOLD = 0.98
 NEIGHBOURS = 8
@@ -113,19 +116,98 @@ def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(cosine, "a bigint, b bigint, sim double")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """One round: pairs of neighbours of a node, both directions, then the nearest again."""
+def _links(edges: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each edge at or above the threshold once."""
+    return edges.where(F.col("sim") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """One round: pairs of neighbours of a node, both directions, then the nearest again; and all links met."""
     back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
     back = back.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("place") <= NEIGHBOURS).drop("place")
     around = graph.union(back).select("a", "b").distinct()
     other = around.select("a", F.col("b").alias("c"))
     pairs = around.join(other, "a").where("b < c").select(F.col("b").alias("a"), F.col("c").alias("b")).distinct()
     known = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    new = _similar(pairs.join(known, ["a", "b"], "left_anti"), nodes)
+    new = materialize(_similar(pairs.join(known, ["a", "b"], "left_anti"), nodes).where("sim >= 0.7"), "similar")
     # both directions of a pair from one row, so that no cosine is computed twice
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    both = new.where("sim >= 0.7").select(ends.alias("pair"), "sim").select("pair.a", "pair.b", "sim")
-    return _nearest(graph.union(both), threshold)
+    both = new.select(ends.alias("pair"), "sim").select("pair.a", "pair.b", "sim")
+    return _nearest(graph.union(both), threshold), _links(new, threshold)
+
+
+def _tiles(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """compare(x, y, cosines) of each block of left and each block of right that share a part.
+
+    left and right: (part, node, embedding) and the same further columns.
+    """
+
+    def multiply(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, tile in group.groupby("tile"):
+            x, y = tile[tile["first"]], tile[~tile["first"]]
+            # a block may be empty by hash
+            if len(x) and len(y):
+                out.append(compare(x, y, _unit(x["embedding"]) @ _unit(y["embedding"]).T))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    blocks = lambda rows, name: rows.groupBy("part").agg(F.ceil(F.count("*") / TILE).alias(name))
+    sizes = small(materialize(blocks(left, "lows").join(blocks(right, "highs"), "part"), "sizes"))
+    hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    first = left.join(sizes, "part").withColumn("low", hashed("lows")).withColumn("high", every("highs")).withColumn("first", F.lit(True))
+    second = right.join(sizes, "part").withColumn("high", hashed("highs")).withColumn("low", every("lows")).withColumn("first", F.lit(False))
+    tiles = first.unionByName(second).withColumn("tile", F.xxhash64("part", "low", "high"))
+    # parts of one tile share a task's call
+    key = F.when(F.col("lows") * F.col("highs") == 1, F.pmod(F.xxhash64("part"), F.lit(256))).otherwise(F.col("tile"))
+    return tiles.withColumn("key", key).drop("part", "lows", "highs", "low", "high").groupBy("key").applyInPandas(multiply, schema)
+
+
+def _stars(threshold: float):
+    """Stars that join the same nodes of a tile as all its links."""
+
+    def join(x: pd.DataFrame, y: pd.DataFrame, cosines: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(cosines >= threshold)
+        names, at = np.unique(np.concatenate([x["node"].to_numpy()[i], y["node"].to_numpy()[j]]), return_inverse=True)
+        i, j, root = at[: len(i)], at[len(i) :], np.arange(len(names))
+        while True:
+            least, after = np.minimum(root[i], root[j]), root.copy()
+            np.minimum.at(after, root[i], least)
+            np.minimum.at(after, root[j], least)
+            after = after[after]
+            if (after == root).all():
+                break
+            root = after
+        edges = pd.DataFrame({"a": names[root], "b": names})
+        return edges[edges["a"] != edges["b"]]
+
+    return join
+
+
+def saturated_links(graph: DataFrame, nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that join each component with a saturated node to all it links with outside.
+
+    found: (node, component). A vector can only link with a component whose
+    members all lie within r of its centre if it lies within r plus the
+    threshold's angle of the centre; such vectors meet the members in tiles.
+    """
+    full = graph.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURS)
+    named = materialize(nodes.select("cell", "node", "embedding").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    hot = named.join(full, "node").select("component").distinct()
+    members = materialize(named.join(small(materialize(hot, "hot")), "component"), "saturated")
+    # the centre is the component's least node
+    reach = _similar(members.select(F.col("component").alias("a"), F.col("node").alias("b")), nodes).groupBy(F.col("a").alias("node")).agg(F.min("sim").alias("sim"))
+    widest = F.acos(F.least(F.col("sim"), F.lit(1.0))) + float(np.arccos(threshold)) + 1e-6
+    centres = materialize(members.join(reach, "node").select(F.col("cell").alias("part"), "node", "component", "embedding", F.when(widest < np.pi, F.cos(widest)).otherwise(-2.0).alias("least")), "centres")
+    others = named.select(F.col("cell").alias("part"), "node", "component", "embedding", F.lit(0.0).alias("least"))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame, cosines: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero((cosines >= x["least"].to_numpy()[:, None]) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]))
+        return pd.DataFrame({"part": x["component"].to_numpy()[i], "node": y["node"].to_numpy()[j]})
+
+    close = materialize(_tiles(centres, others, near, "part bigint, node bigint"), "near")
+    outside = close.join(nodes.select("node", "embedding"), "node").select("part", "node", "embedding")
+    return _tiles(members.select(F.col("component").alias("part"), "node", "embedding"), outside, _stars(threshold), "a bigint, b bigint").distinct()
 
 
 def _tile_links(threshold: float):
@@ -187,14 +269,21 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     key = ["label", "embedding"]
     nodes = rows.where("usable").groupBy(*key).agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies"))
     nodes = materialize(nodes.withColumn("cell", F.xxhash64("label", F.size("embedding"))), "nodes")
-    graph = None
+    graph, linked = None, nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
     for attempt in range(3):
-        edges = _sorted_edges(nodes, ORDERS, seed=1 + attempt * ORDERS)
+        edges = materialize(_sorted_edges(nodes, ORDERS, seed=1 + attempt * ORDERS), "edges")
+        linked = linked.union(_links(edges, threshold))
         graph = materialize(_nearest(edges if graph is None else graph.union(edges), threshold), "graph")
         for _ in range(ROUNDS):
-            graph = materialize(descend(graph, nodes, threshold), "graph")
+            graph, met = descend(graph, nodes, threshold)
+            graph, linked = materialize(graph, "graph"), linked.union(met)
         # the threshold decides on cosines in double precision, whatever the search used
-        found = connected_components(graph.where(F.col("sim") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "classes")
+        linked = materialize(linked.distinct(), "linked")
+        found = connected_components(linked, "classes")
+        across = materialize(saturated_links(graph, nodes, found, threshold), "across")
+        if not across.isEmpty():
+            linked = linked.union(across)
+            found = connected_components(across.union(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), "classes")
         members = materialize(nodes.join(found, "node"), "members")
         links = materialize(component_links(members, threshold), "links")
         recall = _audit(nodes, links, threshold, QUERIES)

@@ -208,6 +208,29 @@ def test_embeddings(spark):
     assert got == {i: (len(links[i]), least[i]) for i, _, _ in rows}
 
 
+def _brute_links(x, threshold=0.98):
+    """Links and least reachable row of each row of x."""
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= threshold
+    least, before = np.arange(len(x)), None
+    while before is None or (least != before).any():
+        before, least = least, np.where(linked, least[None, :], len(x)).min(axis=1)
+    return {i: (int(linked[i].sum()) - 1, int(least[i])) for i in range(len(x))}
+
+
+def test_embeddings_link_saturated_groups(spark):
+    # two tight groups of 60 (cosine 0.9999 inside, just over 0.98 across), and 40 vectors that only link with one of them
+    rng = np.random.default_rng(4)
+    centre, aside = np.eye(24)[0], np.eye(24)[1]
+    at = lambda angle, axis, n: np.cos(angle) * centre + np.sin(angle) * axis + 0.0005 * rng.standard_normal((n, 24))
+    x = np.concatenate([at(0, aside, 60), at(0.19, aside, 60), *[at(0.19, -np.eye(24)[2 + k % 20], 1) for k in range(40)], rng.standard_normal((200, 24))]).astype(np.float32)
+    expected = _brute_links(x)
+    assert len({c for i, (_, c) in expected.items() if i < 160}) == 1
+    frame = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(frame).collect()}
+    assert got == expected
+
+
 def test_leaks(spark, empty):
     item = "A train of 24 wagons leaves Northtown at 9 hours and travels 350 km to reach Southville before the evening storm begins"
     other = item.replace("24", "31").replace("350", "720").replace("Northtown", "Easton")
