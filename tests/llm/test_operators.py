@@ -231,6 +231,21 @@ def test_embeddings_link_saturated_groups(spark):
     assert got == expected
 
 
+def test_embeddings_audit_counts_each_query_once(spark, monkeypatch):
+    # one hot group with thousands of links, and 60 pairs that a search without orders can't find
+    rng = np.random.default_rng(6)
+    hot = np.eye(24)[0] + 0.001 * rng.standard_normal((120, 24))
+    one = rng.standard_normal((60, 24))
+    x = np.concatenate([hot, one, one + 0.01 * rng.standard_normal((60, 24))]).astype(np.float32)
+    expected = _brute_links(x)
+    search = embedding_dedup._sorted_edges
+    monkeypatch.setattr(embedding_dedup, "_sorted_edges", lambda nodes, orders, seed: search(nodes.where("node < 121"), orders, seed))
+    frame = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    rows = embedding_dedup.embedding_dedup(frame).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == expected
+    assert {r.recall for r in rows} == {1.0}
+
+
 def test_leaks(spark, empty):
     item = "A train of 24 wagons leaves Northtown at 9 hours and travels 350 km to reach Southville before the evening storm begins"
     other = item.replace("24", "31").replace("350", "720").replace("Northtown", "Easton")
