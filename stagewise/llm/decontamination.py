@@ -6,7 +6,9 @@ units and names become typed placeholders and keep their values as slots: a
 number starts with a digit (neighbouring ones are one), a unit is in ``UNITS``,
 a name is a capitalised word inside a sentence. Windows of ``WIDTH`` template
 words of documents and benchmark items are hash-joined; windows with more
-placeholders than words are no evidence. An item leaks into a document if at
+placeholders than words are no evidence. Beside them, windows of plain
+lower-case words (numbers and names literal) find verbatim copies in any case;
+an item of which ``COVERAGE`` of the plain windows are found is an exact leak. An item leaks into a document if at
 least ``COVERAGE`` of its windows are found there and the slots are consistent:
 one item value never stands for two document values. Items that were only given
 other numbers, names or units are thereby caught, and marked as not ``exact``.
@@ -17,7 +19,8 @@ through more strangers, which the join then drops.
 
 Edge cases: null or empty texts and items have no windows; items of 4 to
 ``WIDTH`` - 1 words are one window of their own length, shorter ones are never
-found; repeated documents are found each (one row per doc_id and item_id);
+found by template; an item shorter than ``WIDTH`` plain words is one plain window
+whatever its length, so an item of one word is found wherever that word is; repeated documents are found each (one row per doc_id and item_id);
 equal items are all reported; empty tables give no rows; columns other than
 doc_id, item_id and text are ignored.
 """
@@ -53,6 +56,8 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[10, 33, 46, 63]] = True
 _PLACEHOLDERS = np.array([0, 0x1B56C4E9A7F2D381, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B], dtype=np.uint64)
 
+_PLAIN = np.uint64(0x7C15D1B54A32D192)
+
 
 def _unit_hashes() -> np.ndarray:
     raw = np.frombuffer(" ".join(UNITS).encode(), dtype=np.uint8)
@@ -72,8 +77,9 @@ class Template:
         words = Words(folded, off, lower=True, word_bytes=_WORD)
         n, doc = len(words.start), words.doc_of()
         if not n:
-            self.hash = self.value = np.empty(0, np.uint64)
+            self.hash = self.value = self.plain = np.empty(0, np.uint64)
             self.kind, self.bounds = np.empty(0, np.int64), np.zeros(len(off), np.int64)
+            self.plain_bounds = self.bounds
             return
         first = data[words.start]
         second, third, fourth = (data[np.minimum(words.start + k, len(data) - 1)] for k in (1, 2, 3))
@@ -89,10 +95,12 @@ class Template:
         self.kind, self.value = kind[keep], words.hash[keep]
         self.hash = np.where(self.kind > 0, _PLACEHOLDERS[self.kind], self.value)
         self.bounds = np.append(0, np.cumsum(keep))[words.bounds]
+        #: plain words, salted so that their windows are never template windows
+        self.plain, self.plain_bounds = words.hash ^ _PLAIN, words.bounds
 
 
-def template_windows(df: DataFrame, key: str, widths: list[int], bitmap: np.ndarray | None = None, own_width: bool = False) -> DataFrame:
-    """(key, place, n_windows, hash, slots) of the template windows that pass the bitmap.
+def template_windows(df: DataFrame, key: str, widths: list[int], plain_widths: list[int], bitmap: np.ndarray | None = None, own_width: bool = False) -> DataFrame:
+    """(key, plain, place, n_windows, hash, slots) of the template and plain windows that pass the bitmap.
 
     own_width: a text shorter than ``WIDTH`` is one window of its own length.
     """
@@ -103,9 +111,10 @@ def template_windows(df: DataFrame, key: str, widths: list[int], bitmap: np.ndar
         for batch in batches:
             for part, data, off in slices(batch, "text"):
                 t = Template(data, off)
-                count = np.diff(t.bounds)
                 slots = np.flatnonzero(t.kind)
-                for width in widths:
+                for plain, width in [*((False, w) for w in widths), *((True, w) for w in plain_widths)]:
+                    words, bounds = (t.plain, t.plain_bounds) if plain else (t.hash, t.bounds)
+                    count = np.diff(bounds)
                     if own_width:
                         windows = np.where(np.minimum(count, WIDTH) == width, count - width + 1, 0)
                     else:
@@ -114,24 +123,28 @@ def template_windows(df: DataFrame, key: str, widths: list[int], bitmap: np.ndar
                         continue
                     doc = np.repeat(np.arange(len(count)), windows)
                     ends = np.cumsum(windows)
-                    start = np.repeat(t.bounds[:-1] - (ends - windows), windows) + np.arange(ends[-1])
-                    value = window_hashes(t.hash, start, width)
+                    start = np.repeat(bounds[:-1] - (ends - windows), windows) + np.arange(ends[-1])
+                    value = window_hashes(words, start, width)
                     if bits is not None:
                         at = value >> np.uint64(64 - BITMAP_BITS)
                         hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
                         doc, start, value = doc[hit], start[hit], value[hit]
-                    low, high = np.searchsorted(slots, start), np.searchsorted(slots, start + width)
-                    fine = 2 * (high - low) <= width
-                    doc, start, value, low, high = (x[fine] for x in (doc, start, value, low, high))
+                    if plain:
+                        low = high = np.zeros(len(start), np.int64)
+                    else:
+                        low, high = np.searchsorted(slots, start), np.searchsorted(slots, start + width)
+                        fine = 2 * (high - low) <= width
+                        doc, start, value, low, high = (x[fine] for x in (doc, start, value, low, high))
                     if not len(doc):
                         continue
                     size = high - low
                     edge = np.append(0, np.cumsum(size))
                     which = np.repeat(low - edge[:-1], size) + np.arange(edge[-1])
                     lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(t.value[slots[which]].view(np.int64)))
-                    yield pa.record_batch([part.column(key).take(pa.array(doc)), pa.array(start - t.bounds[doc]), pa.array(windows[doc]), pa.array(value.view(np.int64)), lists], [key, "place", "n_windows", "hash", "slots"])
+                    columns = [part.column(key).take(pa.array(doc)), pa.array(np.full(len(doc), plain)), pa.array(start - bounds[doc]), pa.array(windows[doc]), pa.array(value.view(np.int64)), lists]
+                    yield pa.record_batch(columns, [key, "plain", "place", "n_windows", "hash", "slots"])
 
-    return keep_columns(df, key, "text").mapInArrow(run, f"{key} bigint, place bigint, n_windows bigint, hash bigint, slots array<bigint>")
+    return keep_columns(df, key, "text").mapInArrow(run, f"{key} bigint, plain boolean, place bigint, n_windows bigint, hash bigint, slots array<bigint>")
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -146,34 +159,46 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, found_windows, exact, first_place) of leaked items."""
-    items = materialize(template_windows(benchmark, "item_id", list(range(LEAST_WIDTH, WIDTH + 1)), own_width=True), "items")
+    items = materialize(template_windows(benchmark, "item_id", list(range(LEAST_WIDTH, WIDTH + 1)), list(range(1, WIDTH + 1)), own_width=True), "items")
     # item windows that can't be evidence don't count against an item
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    lengths = sorted({WIDTH, *(r.w for r in _short_widths(benchmark).collect())})
-    found = template_windows(docs, "doc_id", lengths, _bitmap(items))
-    hits = found.select("doc_id", F.col("place").alias("at"), "hash", F.col("slots").alias("mine")).join(items.select("item_id", "place", "hash", "slots"), "hash").where(F.size("mine") == F.size("slots"))
-    hits = materialize(hits.select("doc_id", "item_id", "place", "at", "slots", "mine"), "hits")
-    counts = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("found_windows"), F.min("at").alias("first_place"))
+    sizes = items.groupBy("item_id", "plain").agg(F.count("*").alias("n_windows"))
+    short = _short_widths(benchmark).collect()
+    lengths, plain_lengths = (sorted({WIDTH, *(r.w for r in short if r.plain == plain)}) for plain in (False, True))
+    found = template_windows(docs, "doc_id", lengths, plain_lengths, _bitmap(items))
+    hits = found.select("doc_id", F.col("place").alias("at"), "plain", "hash", F.col("slots").alias("mine")).join(items.select("item_id", "plain", "place", "hash", "slots"), ["plain", "hash"]).where(F.size("mine") == F.size("slots"))
+    hits = materialize(hits.select("doc_id", "item_id", "plain", "place", "at", "slots", "mine"), "hits")
+    pair = ["doc_id", "item_id"]
+    enough = lambda c: F.coalesce(F.col(c), F.lit(0)) >= F.col("n_windows") * coverage
+    counted = lambda rows, by: rows.groupBy(*by).agg(F.count_distinct("place").alias("found_windows"), F.min("at").alias("first_place"))
+    verbatim = counted(hits.where("plain"), pair).join(sizes.where("plain").drop("plain"), "item_id").where(enough("found_windows"))
+    verbatim = verbatim.select(*pair, "n_windows", "found_windows", F.lit(True).alias("exact"), "first_place")
+    hits, sizes = hits.where("not plain"), sizes.where("not plain").drop("plain")
+    counts = counted(hits, pair)
     pairs = hits.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "mine")).alias("p")).select("doc_id", "item_id", F.col("p.slots").alias("theirs"), F.col("p.mine").alias("ours")).distinct()
     slots = pairs.groupBy("doc_id", "item_id").agg(F.count("*").alias("pairs"), F.count_distinct("theirs").alias("values"))
     joined = counts.join(sizes, "item_id").join(slots, ["doc_id", "item_id"], "left")
     same = hits.where("slots = mine").groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("same_windows"))
     joined = joined.join(same, ["doc_id", "item_id"], "left")
     consistent = F.coalesce(F.col("pairs") == F.col("values"), F.lit(True))
-    enough = lambda c: F.coalesce(F.col(c), F.lit(0)) >= F.col("n_windows") * coverage
-    return joined.where((enough("found_windows") & consistent) | enough("same_windows")).select("doc_id", "item_id", "n_windows", "found_windows", enough("same_windows").alias("exact"), "first_place")
+    typed = joined.where((enough("found_windows") & consistent) | enough("same_windows")).select(*pair, "n_windows", "found_windows", enough("same_windows").alias("exact"), "first_place")
+    # one row a pair, counts of the template where it leaks by both
+    both = typed.withColumn("turn", F.lit(0)).union(verbatim.withColumn("turn", F.lit(1))).groupBy(*pair).agg(F.min_by(F.struct("n_windows", "found_windows", "first_place"), "turn").alias("r"), F.max("exact").alias("exact"))
+    return both.select(*pair, "r.n_windows", "r.found_windows", "exact", "r.first_place")
 
 
 def _short_widths(benchmark: DataFrame) -> DataFrame:
-    """Lengths below ``WIDTH`` of the items' templates; at most four rows."""
+    """Lengths below ``WIDTH`` of the items' templates and plain words; at most eleven rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, off in slices(batch, "text"):
-                count = np.unique(np.diff(Template(data, off).bounds))
-                yield pa.record_batch([pa.array(count[(count >= LEAST_WIDTH) & (count < WIDTH)])], ["w"])
+                t = Template(data, off)
+                for plain, bounds, least in ((False, t.bounds, LEAST_WIDTH), (True, t.plain_bounds, 1)):
+                    count = np.unique(np.diff(bounds))
+                    count = count[(count >= least) & (count < WIDTH)]
+                    yield pa.record_batch([pa.array(np.full(len(count), plain)), pa.array(count)], ["plain", "w"])
 
-    return keep_columns(benchmark, "text").mapInArrow(run, "w bigint").distinct()
+    return keep_columns(benchmark, "text").mapInArrow(run, "plain boolean, w bigint").distinct()
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -258,6 +258,15 @@ def test_leaks(spark, empty):
     assert decontamination.leaks(empty, benchmark).isEmpty()
 
 
+def test_leaks_verbatim_in_any_case(spark):
+    item = "A train of 24 wagons leaves Northtown at 9 hours and travels 350 km to reach Southville before the evening storm begins"
+    texts = {1: "intro words here. " + item.upper() + " and more", 2: "x " + item.lower() + " y", 3: "ask what is 2 + 2? then go", 4: "rates: 3 kg 4 km, Ann 5 miles 6 hours Bob 7 days 8 weeks end", 5: "what is it, 2 or 3"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(10, item), (11, "What is 2 + 2?"), (12, "3 kg 4 km, Ann 5 miles 6 hours Bob 7 days 8 weeks")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontamination.leaks(docs, benchmark).collect()}
+    assert got == {(1, 10): True, (2, 10): True, (3, 11): True, (4, 12): True}
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
