@@ -9,8 +9,11 @@ words of documents and benchmark items are hash-joined; windows with more
 placeholders than words are no evidence. Beside them, windows of plain
 lower-case words (numbers and names literal) find verbatim copies in any case;
 an item of which ``COVERAGE`` of the plain windows are found is an exact leak. An item leaks into a document if at
-least ``COVERAGE`` of its windows are found there and the slots are consistent:
-one item value never stands for two document values. Items that were only given
+least ``COVERAGE`` of its windows are found in one occurrence there and its
+slots are consistent: one item value never stands for two document values. An
+occurrence is the hits of one offset between document and item, the hits of
+neighbouring offsets (at most ``TOLERANCE`` apart, for inserted or dropped words),
+or all hits of the document; one that passes is enough. Items that were only given
 other numbers, names or units are thereby caught, and marked as not ``exact``.
 
 Before the join, document windows pass a bitmap of the benchmark's hashes. The
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import keep_columns, materialize
@@ -40,6 +43,8 @@ from .text import Words, slices, window_hashes
 WIDTH = 8
 LEAST_WIDTH = 4
 COVERAGE = 0.5
+#: Words by which the offsets of an occurrence may differ from hit to hit.
+TOLERANCE = 8
 BITMAP_BITS = 24
 
 # Unit words that stand for a placeholder.
@@ -173,14 +178,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     verbatim = counted(hits.where("plain"), pair).join(sizes.where("plain").drop("plain"), "item_id").where(enough("found_windows"))
     verbatim = verbatim.select(*pair, "n_windows", "found_windows", F.lit(True).alias("exact"), "first_place")
     hits, sizes = hits.where("not plain"), sizes.where("not plain").drop("plain")
-    counts = counted(hits, pair)
-    pairs = hits.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "mine")).alias("p")).select("doc_id", "item_id", F.col("p.slots").alias("theirs"), F.col("p.mine").alias("ours")).distinct()
-    slots = pairs.groupBy("doc_id", "item_id").agg(F.count("*").alias("pairs"), F.count_distinct("theirs").alias("values"))
-    joined = counts.join(sizes, "item_id").join(slots, ["doc_id", "item_id"], "left")
-    same = hits.where("slots = mine").groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("same_windows"))
-    joined = joined.join(same, ["doc_id", "item_id"], "left")
+    # each hit counts in three occurrences: its offset's, its neighbouring offsets', the document's
+    offset = F.col("at") - F.col("place")
+    step = Window.partitionBy(*pair).orderBy("offset")
+    offsets = hits.select(*pair, offset.alias("offset")).distinct().withColumn("jump", (F.col("offset") - F.lag("offset").over(step) > TOLERANCE).cast("int"))
+    near = offsets.select(*pair, "offset", F.sum(F.coalesce("jump", F.lit(0))).over(step.rowsBetween(Window.unboundedPreceding, 0)).alias("near"))
+    level = lambda k, c: F.struct(F.lit(k).alias("level"), c.cast("bigint").alias("number"))
+    occurrence = F.explode(F.array(level(0, F.col("offset")), level(1, F.col("near")), level(2, F.lit(0))))
+    hits = materialize(hits.withColumn("offset", offset).join(near, [*pair, "offset"]).select(*pair, occurrence.alias("occurrence"), "place", "at", "slots", "mine"), "occurrences")
+    by = [*pair, "occurrence"]
+    pairs = hits.select(*by, F.explode(F.arrays_zip("slots", "mine")).alias("p")).select(*by, F.col("p.slots").alias("theirs"), F.col("p.mine").alias("ours")).distinct()
+    slots = pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_distinct("theirs").alias("values"))
+    same = hits.where("slots = mine").groupBy(*by).agg(F.count_distinct("place").alias("same_windows"))
+    joined = counted(hits, by).join(sizes, "item_id").join(slots, by, "left").join(same, by, "left")
     consistent = F.coalesce(F.col("pairs") == F.col("values"), F.lit(True))
-    typed = joined.where((enough("found_windows") & consistent) | enough("same_windows")).select(*pair, "n_windows", "found_windows", enough("same_windows").alias("exact"), "first_place")
+    passed = joined.where((enough("found_windows") & consistent) | enough("same_windows")).withColumn("exact", enough("same_windows"))
+    # the occurrence with the most windows speaks for the pair, the first of equal ones
+    best = F.max_by(F.struct("n_windows", "found_windows", "first_place"), F.struct("found_windows", -F.col("first_place"))).alias("r")
+    typed = passed.groupBy(*pair).agg(best, F.max("exact").alias("exact")).select(*pair, "r.n_windows", "r.found_windows", "exact", "r.first_place")
     # one row a pair, counts of the template where it leaks by both
     both = typed.withColumn("turn", F.lit(0)).union(verbatim.withColumn("turn", F.lit(1))).groupBy(*pair).agg(F.min_by(F.struct("n_windows", "found_windows", "first_place"), "turn").alias("r"), F.max("exact").alias("exact"))
     return both.select(*pair, "r.n_windows", "r.found_windows", "exact", "r.first_place")

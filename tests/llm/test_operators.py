@@ -267,6 +267,17 @@ def test_leaks_verbatim_in_any_case(spark):
     assert got == {(1, 10): True, (2, 10): True, (3, 11): True, (4, 12): True}
 
 
+def test_leaks_each_occurrence_on_its_own(spark):
+    item = "A train of 24 wagons leaves Northtown at 9 hours and travels 350 km to reach Southville before the evening storm begins"
+    twin = "one says Tom has 3 red apples in a basket today and one says Ann has 5 red apples in a basket today and nothing more is said"
+    other = [item.replace("24", a).replace("350", b).replace("Northtown", c) for a, b, c in (("31", "720", "Easton"), ("36", "810", "Weston"))]
+    texts = {1: f"so: {other[0]} etc, and then: {other[1]} etc", 2: "so " + twin.replace("3", "8").replace("5", "8").replace("Tom", "Eve").replace("Ann", "Joe")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(10, item), (11, twin)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.exact, r.found_windows <= r.n_windows) for r in decontamination.leaks(docs, benchmark).collect()}
+    assert got.keys() == {(1, 10), (2, 11)} and got[1, 10] == (False, True)
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
