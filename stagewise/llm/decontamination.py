@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import keep_columns, materialize
+from .storage import by_row, drop_rows, keep_columns, keyed_rows, materialize
 from .text import Words, slices, window_hashes
 
 WIDTH = 8
@@ -218,8 +218,8 @@ def _short_widths(benchmark: DataFrame) -> DataFrame:
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item, all columns kept."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    rows, key = keyed_rows(docs)
+    return drop_rows(rows, key, leaks(by_row(rows, key), benchmark))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import keep_columns, materialize
+from .storage import by_row, drop_rows, keep_columns, keyed_rows, materialize
 from .text import LocalRepeats, Words, mix, slices, window_hashes
 
 
@@ -295,8 +295,13 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Documents that are the first of their group, all columns kept."""
-    extra = ngram_jaccard(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti")
+    rows, key = keyed_rows(docs)
+    # the least doc_id is the first of a group, a null one the last
+    names = rows.select(F.col(f"`{key}`").alias("name"), F.col("doc_id").alias("id"))
+    groups = materialize(ngram_jaccard(by_row(rows, key), width, percent).join(names, F.col("name") == F.col("doc_id")).select("doc_id", "component_id", "id"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first"))
+    extra = groups.join(first, "component_id").where(F.col("doc_id") != F.col("first.doc_id"))
+    return drop_rows(rows, key, extra)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,24 @@ def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def keyed_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """A materialized table with a key of its own for each row, and the key's column name."""
+    key = "row_key"
+    while key in (c.lower() for c in df.columns):
+        key += "_"
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def by_row(rows: DataFrame, key: str) -> DataFrame:
+    """(doc_id, text) with the row's key in the place of doc_id."""
+    return rows.select(F.col(f"`{key}`").alias("doc_id"), "text")
+
+
+def drop_rows(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """The rows whose key is no doc_id of ``found``, without the key."""
+    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").drop(key)
+
+
 #: Rows up to which a two-column table of ids may be broadcast (about 64 MB).
 BROADCAST_ROWS = 1_000_000
 

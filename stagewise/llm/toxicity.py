@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import keep_columns
+from .storage import by_row, drop_rows, keep_columns, keyed_rows
 from .text import Words, _BASE_INV, _BASE, _power_table, CODES_LOWER, mix, slices, window_hashes
 
 SAMPLE_PER_CLASS = 1500
@@ -292,8 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> CrfModel:
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, at: float = PREDICT_AT) -> DataFrame:
     """Documents whose score stays below ``at``, all their columns kept."""
-    scores = score_documents(docs, fit(docs, labels)).where(F.col("score") >= at).select("doc_id").distinct()
-    return docs.join(scores, "doc_id", "left_anti")
+    rows, key = keyed_rows(docs)
+    return drop_rows(rows, key, score_documents(by_row(rows, key), fit(rows, labels)).where(F.col("score") >= at))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

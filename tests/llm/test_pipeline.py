@@ -7,8 +7,11 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from stagewise.llm.decontamination import drop_leaked
+from stagewise.llm.ngram_jaccard import one_of_each_group
 from stagewise.llm.storage import materialize
 from stagewise.llm.tokens import default_path
+from stagewise.llm.toxicity import toxicity_filter
 
 ITEM = "A train of 24 wagons leaves Northtown at 9 hours and travels 350 km to reach Southville before the evening storm begins"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,6 +34,23 @@ def _corpus(spark, folder):
     spark.createDataFrame([(10, ITEM), (11, None), (12, "")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
 
 
+def test_filters_decide_by_row(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    toxic, clean, same = "vilegrot " * 3 + make(30), make(40), make(50)
+    rows = [(None, toxic), (1, toxic), (1, clean), (2, same), (2, same), (None, same), (None, ITEM), (3, ITEM), (3, make(40))]
+    rows += [(10 + i, " ".join(["vilegrot" if i % 4 == 0 and k in (7, 21) else make(1) for k in range(40)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(10 + i, int(i % 4 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    few = lambda df: sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in df.where("doc_id is null or doc_id < 10").collect())
+    left = few(toxicity_filter(docs, labels))
+    assert not [i for i, t in left if t == toxic] and (1, clean) in left
+    assert [i for i, t in few(one_of_each_group(docs)) if t == same] == [2]
+    left = few(drop_leaked(docs, spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")))
+    assert not [i for i, t in left if t == ITEM] and [i for i, _ in left].count(3) == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     folder = f"file://{tmp_path}"
     _corpus(spark, folder)
