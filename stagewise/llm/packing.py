@@ -3,9 +3,10 @@
 Documents become token pieces of at most ``capacity`` ids (only longer ones are
 cut). Full pieces are sequences of their own. The others are dealt into groups
 by hash and packed best-fit decreasing; a group's bin count is compared with
-lower bounds from dual feasible functions. A group at its bound is certified
-and closed. A group with a gap gives up the documents of its emptiest bins;
-these are exchanged between groups and packed again, in ever fewer groups.
+lower bounds from dual feasible functions. Every group, at its bound or not,
+gives up the documents of its emptiest bins, of one at least; these are
+exchanged between groups and packed again, in ever fewer groups, until a last
+group packs them all.
 
 Edge cases: null text packs as an empty text, which is its end id alone;
 repeated rows of one doc_id are packed each (they share doc_id and piece
@@ -127,11 +128,12 @@ def _pack_group(round_no: int, last: bool, capacity: int, exchange: int):
         bins, offset, free = best_fit_decreasing(lengths, capacity)
         bound = bin_lower_bound(lengths, capacity)
         released = np.zeros(len(free), dtype=bool)
-        if not last and len(free) > bound:
+        if not last:
             emptiest = np.argsort(-free, kind="stable")
             emptiest = emptiest[free[emptiest] > 0]
             sizes = np.bincount(bins, minlength=len(free))[emptiest]
             released[emptiest[np.cumsum(sizes) <= exchange]] = True
+            released[emptiest[:1]] = True
         number = (round_no << 56) + (int(group["group"].iloc[0]) << 20) + bins
         return group[["doc_id", "row", "piece", "length"]].assign(sequence_id=number, offset=offset, open=released[bins], bound=bound)
 
@@ -145,8 +147,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     done = [full]
     rest, round_no = pieces.where(F.col("length") < capacity).select(*key, "length"), 0
     schema = "doc_id bigint, row bigint, piece int, length bigint, sequence_id bigint, offset bigint, open boolean, bound bigint"
+    groups = None
     while n := rest.count():
-        groups = max(1, math.ceil(n / group_pieces))
+        # fewer each round, even where groups of tiny pieces give up all they have
+        groups = max(1, min(math.ceil(n / group_pieces), n if groups is None else groups // 2))
         dealt = rest.withColumn("order", F.xxhash64(F.lit(round_no), *key)).withColumn("group", F.pmod(F.xxhash64(F.lit(round_no + 1000), *key), F.lit(groups)))
         packed = materialize(dealt.groupBy("group").applyInPandas(_pack_group(round_no, groups == 1, capacity, exchange), schema), "packed")
         done.append(packed.where("not open").select(*key, "sequence_id", "offset"))

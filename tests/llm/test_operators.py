@@ -137,6 +137,22 @@ def test_lower_bound_and_best_fit():
     assert packing.bin_lower_bound(np.array([60, 60, 60]), 100) == 3
 
 
+def test_packing_shares_part_filled_bins(spark):
+    rng = np.random.default_rng(9)
+    for lengths in (np.ones(1000, np.int64), rng.integers(1, 4, 1000)):
+        rows = [(i, 0, 0, int(n)) for i, n in enumerate(lengths)]
+        pieces = spark.createDataFrame(rows, "doc_id bigint, row bigint, piece int, length bigint")
+        placed = packing.pack(pieces, capacity=100, group_pieces=64, exchange=16).collect()
+        assert {r.doc_id for r in placed} == set(range(1000)) and len(placed) == 1000
+        bins = defaultdict(list)
+        for r in placed:
+            bins[r.sequence_id].append((r.offset, int(lengths[r.doc_id])))
+        for parts in bins.values():
+            ends = np.cumsum([n for _, n in sorted(parts)])
+            assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 100
+        assert len(bins) == packing.bin_lower_bound(lengths, 100)
+
+
 def test_secrets(spark):
     texts = ["token=token:abcdefgh é password: 'hunter22' x", "AKIA" + "A1" * 9 + " " + "ab12" * 7, None, "", "Secret = short api_key:abcdef api", "ghp_" + "a" * 36 + " AKIAAKIAX", "token: a token: secret123", "é" * 5 + " -----BEGIN RSA PRIVATE KEY-----"]
     frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
