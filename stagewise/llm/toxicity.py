@@ -8,16 +8,20 @@ conditional likelihood. Forward-backward marginals of every token of a whole
 text are aggregated to a document score by a small logistic model, and runs of
 tokens with a marginal of at least 0.5 are the offending spans.
 
-Chains are sentences: they end at ``. ! ?`` or a line end, and after
-``CHAIN_WORDS`` words. The classifier is fitted on a bounded sample of labelled
-rows: at most ``SAMPLE_PER_CLASS`` of each class, those with the least hash of
-doc_id; scoring covers all documents and whole texts without any shuffle.
+Chains are sentences, whatever their length: they end at ``. ! ?`` or a line
+end. Long ones are worked on in pieces of ``PIECE_WORDS`` words, whose products
+of transition matrices carry the exact messages from piece to piece. The
+classifier is fitted on a bounded sample of labelled rows: at most
+``SAMPLE_PER_CLASS`` of each class, those with the least hash of doc_id, of whole
+texts of at most ``SAMPLE_TEXT_BYTES`` bytes, and ``SAMPLE_BYTES`` of them a class;
+scoring covers all documents and whole texts without any shuffle.
 
 Edge cases: null or empty text has no tokens and gets the score that the
 logistic model gives to none; rows of ``labels`` with a null doc_id or toxic
-flag are ignored, repeated label rows count as toxic if one of them does; with
+flag are ignored, repeated label rows count as toxic if one of them does; of
+repeated doc_ids the least text is sampled; with
 no labelled rows of both classes the score is 0.0 for all; repeated documents
-are scored each; extra columns of the input are not touched.
+are scored each; an empty table gives no rows; extra columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import by_row, drop_rows, keep_columns, keyed_rows
+from .storage import keep_columns
 from .text import Words, _BASE_INV, _BASE, _power_table, CODES_LOWER, mix, slices, window_hashes
 
 SAMPLE_PER_CLASS = 1500
+SAMPLE_BYTES, SAMPLE_TEXT_BYTES = 8 << 20, 1 << 18
 BUCKETS = 1 << 20
-CHAIN_WORDS = 64
+PIECE_WORDS = 64
 PREFIXES = (4, 5, 6, 7)
 PREDICT_AT = 0.7
 #: A feature labels tokens if it is so many times as frequent in toxic documents, with this likelihood ratio.
@@ -81,18 +86,25 @@ class Tokens:
         first = np.ones(n, dtype=bool)
         if n:
             first[1:] = (self.doc[1:] != self.doc[:-1]) | (ends[self.start[1:]] != ends[self.end[:-1]])
-            at = np.flatnonzero(first)
-            run = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-            first |= run % CHAIN_WORDS == 0
         self._order(np.flatnonzero(first))
 
     def _order(self, at: np.ndarray) -> None:
+        """Cut the chains that start at ``at`` into pieces."""
         n = len(self.doc)
-        length = np.diff(np.append(at, n))
+        self.chain = at
+        self.inner = np.ones(n, dtype=bool)
+        self.inner[at] = False
+        run = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+        place = np.flatnonzero(run % PIECE_WORDS == 0)
+        length = np.diff(np.append(place, n))
         order = np.argsort(-length, kind="stable")
-        self.chain, self.length = at[order], length[order]
-        #: Chains that still have a token at each step; chains are sorted by length.
+        self.piece, self.length = place[order], length[order]
+        #: Pieces that still have a token at each step; pieces are sorted by length.
         self.alive = np.searchsorted(-self.length, -np.arange(1, (self.length[0] if n else 0) + 1), side="right")
+        #: Pieces of chains of several, in order: first token, length, and number in the chain.
+        number = run[place] // PIECE_WORDS
+        several = (number > 0) | np.append(number[1:] > 0, False)
+        self.long, self.long_length, self.number = place[several], length[several], number[several]
 
 
 def _joined(texts: list[str | None]) -> Tokens:
@@ -105,34 +117,77 @@ def _joined(texts: list[str | None]) -> Tokens:
         docs, at = docs + part.num_rows, at + len(t.doc)
     whole = Tokens.__new__(Tokens)
     whole.features, whole.doc = np.concatenate([f for f, _ in parts], axis=1), np.concatenate([d for _, d in parts])
+    parts.clear()
     whole._order(np.concatenate(starts))
     return whole
 
 
+def _apply(m: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Odds after the transitions whose matrices of unnormalised weights are m."""
+    return (m[:, 0, 0] * r + m[:, 0, 1]) / (m[:, 1, 0] * r + m[:, 1, 1])
+
+
+def _matrix(a, b, c, d) -> np.ndarray:
+    return np.stack(np.broadcast_arrays(a, b, c, d), axis=-1).reshape(-1, 2, 2)
+
+
+def _between_pieces(tokens: Tokens, potential: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward odds at the last token before each piece of a long chain, and backward odds at the first token after it."""
+    (oo, ot), (to, tt) = np.exp(transitions)
+    first, length, number = tokens.long, tokens.long_length, tokens.number
+    final = np.roll(number, -1) == 0
+    ahead, back = (np.broadcast_to(np.eye(2), (len(first), 2, 2)).copy() for _ in range(2))
+    for t in range(int(length.max(initial=0))):
+        some = np.flatnonzero(length > t)
+        at, p = first[some] + t, potential[first[some] + t]
+        # a chain begins without a transition: its first odds do not depend on any before
+        begins = (number[some] == 0) & (t == 0)
+        step = np.where(begins[:, None, None], _matrix(0.0, p, 0.0, 1.0), _matrix(p * tt, p * ot, to, oo)) @ ahead[some]
+        ahead[some] = step / step.max(axis=(1, 2), keepdims=True)
+        at = first[some] + length[some] - 1 - t
+        p = potential[np.minimum(at + 1, len(potential) - 1)]
+        ends = final[some] & (t == 0)
+        step = np.where(ends[:, None, None], _matrix(0.0, 1.0, 0.0, np.ones(len(p))), _matrix(p * tt, to, p * ot, oo)) @ back[some]
+        back[some] = step / step.max(axis=(1, 2), keepdims=True)
+    before, after = np.ones(len(first)), np.ones(len(first))
+    start = np.flatnonzero(number == 0)
+    pieces = np.diff(np.append(start, len(number)))
+    for j in range(1, int(pieces.max(initial=0))):
+        at = start[pieces > j] + j
+        before[at] = _apply(ahead[at - 1], before[at - 1])
+    for j in range(1, int(pieces.max(initial=0))):
+        at = (start + pieces)[pieces > j] - 1 - j
+        after[at] = _apply(back[at + 1], after[at + 1])
+    return before, after
+
+
 def _marginals(tokens: Tokens, emission: np.ndarray, transitions: np.ndarray, pairs: bool = False):
     """Probability of the toxic state for each token; expected transition counts if asked."""
     n = len(emission)
     potential = np.exp(np.clip(emission, -30, 30))
     (oo, ot), (to, tt) = np.exp(transitions)
     forward, backward = np.empty(n), np.ones(n)
-    for t, alive in enumerate(tokens.alive):
-        at = tokens.chain[:alive] + t
-        if t == 0:
-            forward[at] = potential[at]
-        else:
-            r = forward[at - 1]
-            forward[at] = potential[at] * (r * tt + ot) / (r * to + oo)
+    before, after = _between_pieces(tokens, potential, transitions)
+    forward[tokens.piece] = potential[tokens.piece]
+    later = tokens.number > 0
+    forward[tokens.long[later]] *= (before[later] * tt + ot) / (before[later] * to + oo)
+    for t, alive in enumerate(tokens.alive[1:], 1):
+        at = tokens.piece[:alive] + t
+        r = forward[at - 1]
+        forward[at] = potential[at] * (r * tt + ot) / (r * to + oo)
+    on = np.roll(later, -1)  # a first piece follows the last one
+    last = tokens.long[on] + tokens.long_length[on] - 1
+    r = after[on] * potential[last + 1]
+    backward[last] = (r * tt + to) / (r * ot + oo)
     for t in range(len(tokens.alive) - 2, -1, -1):
-        at = tokens.chain[: tokens.alive[t + 1]] + t
+        at = tokens.piece[: tokens.alive[t + 1]] + t
         r = backward[at + 1] * potential[at + 1]
         backward[at] = (r * tt + to) / (r * ot + oo)
     odds = forward * backward
     marginal = odds / (1 + odds)
     if not pairs:
         return marginal
-    inner = np.ones(n, dtype=bool)
-    inner[tokens.chain] = False
-    right = np.flatnonzero(inner)
+    right = np.flatnonzero(tokens.inner)
     a, b = forward[right - 1], backward[right] * potential[right]
     joint = np.stack([np.full(len(right), oo), b * ot, a * to, a * b * tt])
     return marginal, (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2), right
@@ -189,6 +244,14 @@ def _one_of_each_copy(texts: list[str | None]) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+def _emissions(tokens: Tokens, weights: np.ndarray) -> np.ndarray:
+    """Sum of a token's feature weights, feature by feature to spare memory."""
+    out = np.zeros(tokens.features.shape[1])
+    for row in tokens.features:
+        out += weights[row]
+    return out
+
+
 def train(texts: list[str | None], toxic: list[int], share: tuple[float, float] = (1.0, 1.0), steps: int = 30) -> CrfModel:
     """Fit the CRF and the document model; share: the sampled part of each class."""
     y = np.asarray(toxic, dtype=np.float64)
@@ -215,14 +278,14 @@ def train(texts: list[str | None], toxic: list[int], share: tuple[float, float]
         gain = 2 * (hits * np.log(share_hit / base) + rest * np.log((1 - share_hit) / (1 - base)))
         tied |= (lift >= MIN_LIFT) & (gain >= MIN_GAIN)
     tied[0] = False
-    gold = tied[tokens.features].any(axis=0) & (y[tokens.doc] == 1)
+    gold = np.logical_or.reduce([tied[row] for row in tokens.features]) & (y[tokens.doc] == 1)
     # maximum conditional likelihood with Adagrad steps over all chains
     emit, trans = np.zeros(BUCKETS), np.zeros((2, 2))
     emit_sq, trans_sq = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     g = gold.astype(np.float64)
     scale = 1.0 / max(1.0, gold.sum())
     for _ in range(steps):
-        marginal, expected, right = _marginals(tokens, emit[tokens.features].sum(axis=0) + trans[0, 0], trans, pairs=True)
+        marginal, expected, right = _marginals(tokens, _emissions(tokens, emit) + trans[0, 0], trans, pairs=True)
         seen = np.bincount(2 * gold[right - 1] + gold[right], minlength=4).reshape(2, 2)
         error = marginal - g
         grad = sum(np.bincount(row, error, BUCKETS) for row in tokens.features) * scale + 1e-6 * emit
@@ -232,23 +295,34 @@ def train(texts: list[str | None], toxic: list[int], share: tuple[float, float]
         grad_t = (expected - seen) * scale + 1e-4 * trans
         trans_sq += grad_t**2
         trans -= 0.2 * grad_t / np.sqrt(trans_sq)
-    marginal = _marginals(tokens, emit[tokens.features].sum(axis=0) + trans[0, 0], trans)
+    marginal = _marginals(tokens, _emissions(tokens, emit) + trans[0, 0], trans)
     document = _logistic(_document_features(tokens, marginal, docs), y, weight)
     return CrfModel(emit.astype(np.float32), trans, document, True)
 
 
-def sample_training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list, list, tuple[float, float]]:
-    """A bounded sample of labelled texts: ids are chosen from ``labels`` alone and broadcast."""
+def sample_training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[list, list, tuple[float, float]]:
+    """A sample of labelled texts, bounded in rows and bytes: ids are chosen from ``labels`` alone and broadcast."""
     flags = keep_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     counts = {r.toxic: r.n for r in flags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ranked = [flags.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for part in ranked for r in part.collect()], "doc_id bigint, toxic int")
-    found = keep_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    rows = sorted(found.collect())
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic, i) for part in ranked for i, r in enumerate(part.collect())], "doc_id bigint, toxic int, rank int")
+    small = keep_columns(docs, "doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
+    found = small.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("rank").alias("rank"))
+    # at most per_class rows a class
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy("rank"))
+    rows = sorted(found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "toxic").collect(), key=lambda r: r.doc_id)
     taken = [sum(r.toxic == k for r in rows) for k in (0, 1)]
     return [r.text for r in rows], [r.toxic for r in rows], tuple(min(1.0, per_class / max(1, counts.get(k, 0))) if taken[k] else 1.0 for k in (0, 1))
 
 
+def _scored(model: CrfModel, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Tokens, np.ndarray]:
+    """Scores of the documents of a slice, its tokens, and which of them are toxic."""
+    tokens, docs = Tokens(data, off), len(off) - 1
+    marginal = _marginals(tokens, _emissions(tokens, model.weights) + model.transitions[0, 0], model.transitions)
+    value = 1 / (1 + np.exp(-np.clip(_document_features(tokens, marginal, docs) @ model.document, -30, 30)))
+    return value if model.fitted else np.zeros(docs), tokens, (marginal >= 0.5) & model.fitted
+
+
 def score_documents(docs: DataFrame, model: CrfModel) -> DataFrame:
     """(doc_id, score, spans): spans are code-point ranges of offending tokens, end exclusive."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -256,14 +330,9 @@ def score_documents(docs: DataFrame, model: CrfModel) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for part, data, off in slices(batch, "text"):
-                tokens, docs_here = Tokens(data, off), part.num_rows
-                marginal = _marginals(tokens, m.weights[tokens.features].sum(axis=0, dtype=np.float64) + m.transitions[0, 0], m.transitions)
-                value = 1 / (1 + np.exp(-np.clip(_document_features(tokens, marginal, docs_here) @ m.document, -30, 30)))
-                value = value if m.fitted else np.zeros(docs_here)
-                hit = (marginal >= 0.5) & m.fitted
+                value, tokens, hit = _scored(shared.value, data, off)
                 first, last = hit.copy(), hit.copy()
                 same = tokens.doc[1:] == tokens.doc[:-1]
                 first[1:] &= ~(hit[:-1] & same)
@@ -272,7 +341,7 @@ def score_documents(docs: DataFrame, model: CrfModel) -> DataFrame:
                 np.cumsum((data & 0xC0) != 0x80, out=points[1:])
                 doc = tokens.doc[first]
                 base = points[off[doc]]
-                counts = np.bincount(doc, minlength=docs_here)
+                counts = np.bincount(doc, minlength=part.num_rows)
                 rows = pa.StructArray.from_arrays([pa.array(points[tokens.start[first]] - base), pa.array(points[tokens.end[last]] - base)], ["start", "end"])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), rows)
                 yield pa.record_batch([part.column("doc_id"), pa.array(value), lists.cast(span)], ["doc_id", "score", "spans"])
@@ -291,14 +360,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> CrfModel:
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, at: float = PREDICT_AT) -> DataFrame:
-    """Documents whose score stays below ``at``, all their columns kept."""
-    rows, key = keyed_rows(docs)
-    return drop_rows(rows, key, score_documents(by_row(rows, key), fit(rows, labels)).where(F.col("score") >= at))
+    """Documents whose score stays below ``at``, all their columns kept; rows are filtered where they are scored."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in slices(batch, "text"):
+                yield part.filter(pa.array(_scored(shared.value, data, off)[0] < at))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document."""
+    """Toxicity score and offending spans of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), "spans")
