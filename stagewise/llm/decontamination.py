@@ -21,8 +21,8 @@ bitmap has a fixed size (2 MB) whatever the benchmark holds; it only lets
 through more strangers, which the join then drops.
 
 Edge cases: null or empty texts and items have no windows; items of 4 to
-``WIDTH`` - 1 words are one window of their own length, shorter ones are never
-found by template; an item shorter than ``WIDTH`` plain words is one plain window
+``WIDTH`` - 1 words are one window of their own length, shorter ones and those
+of placeholders mostly are never found by template, and ``found_verbatim_only`` lists them; an item shorter than ``WIDTH`` plain words is one plain window
 whatever its length, so an item of one word is found wherever that word is; repeated documents are found each (one row per doc_id and item_id);
 equal items are all reported; empty tables give no rows; columns other than
 doc_id, item_id and text are ignored.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import by_row, drop_rows, keep_columns, keyed_rows, materialize
+from .storage import by_row, drop_rows, hash_bitmap, in_bitmap, keep_columns, materialize
 from .text import Words, slices, window_hashes
 
 WIDTH = 8
@@ -45,7 +45,6 @@ LEAST_WIDTH = 4
 COVERAGE = 0.5
 #: Words by which the offsets of an occurrence may differ from hit to hit.
 TOLERANCE = 8
-BITMAP_BITS = 24
 
 # Unit words that stand for a placeholder.
 UNITS = """
@@ -131,8 +130,7 @@ def template_windows(df: DataFrame, key: str, widths: list[int], plain_widths: l
                     start = np.repeat(bounds[:-1] - (ends - windows), windows) + np.arange(ends[-1])
                     value = window_hashes(words, start, width)
                     if bits is not None:
-                        at = value >> np.uint64(64 - BITMAP_BITS)
-                        hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+                        hit = np.flatnonzero(in_bitmap(bits, value))
                         doc, start, value = doc[hit], start[hit], value[hit]
                     if plain:
                         low = high = np.zeros(len(start), np.int64)
@@ -152,16 +150,6 @@ def template_windows(df: DataFrame, key: str, widths: list[int], plain_widths: l
     return keep_columns(df, key, "text").mapInArrow(run, f"{key} bigint, plain boolean, place bigint, n_windows bigint, hash bigint, slots array<bigint>")
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bits of the hashes' leading digits: at most 2^18 rows reach the driver."""
-    top = f"shiftrightunsigned(hash, {64 - BITMAP_BITS})"
-    words = windows.selectExpr(f"shiftright({top}, 6) as at", f"shiftleft(1L, cast({top} & 63 as int)) as bit")
-    bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
-    for row in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[row["at"]] = row["bits"]
-    return bits.view(np.uint64)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, found_windows, exact, first_place) of leaked items."""
     items = materialize(template_windows(benchmark, "item_id", list(range(LEAST_WIDTH, WIDTH + 1)), list(range(1, WIDTH + 1)), own_width=True), "items")
@@ -169,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     sizes = items.groupBy("item_id", "plain").agg(F.count("*").alias("n_windows"))
     short = _short_widths(benchmark).collect()
     lengths, plain_lengths = (sorted({WIDTH, *(r.w for r in short if r.plain == plain)}) for plain in (False, True))
-    found = template_windows(docs, "doc_id", lengths, plain_lengths, _bitmap(items))
+    found = template_windows(docs, "doc_id", lengths, plain_lengths, hash_bitmap(items, "hash"))
     hits = found.select("doc_id", F.col("place").alias("at"), "plain", "hash", F.col("slots").alias("mine")).join(items.select("item_id", "plain", "place", "hash", "slots"), ["plain", "hash"]).where(F.size("mine") == F.size("slots"))
     hits = materialize(hits.select("doc_id", "item_id", "plain", "place", "at", "slots", "mine"), "hits")
     pair = ["doc_id", "item_id"]
@@ -217,9 +205,15 @@ def _short_widths(benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item, all columns kept."""
-    rows, key = keyed_rows(docs)
-    return drop_rows(rows, key, leaks(by_row(rows, key), benchmark))
+    """Documents that hold no benchmark item, all columns kept; repeated rows and null doc_ids are judged by their text."""
+    found = leaks(by_row(docs), benchmark).select("doc_id").distinct()
+    return drop_rows(docs, materialize(found, "leaked"))
+
+
+def found_verbatim_only(benchmark: DataFrame) -> DataFrame:
+    """(item_id): items with words but without a template window, which are found as plain copies alone."""
+    windows = template_windows(benchmark, "item_id", list(range(LEAST_WIDTH, WIDTH + 1)), list(range(1, WIDTH + 1)), own_width=True)
+    return windows.groupBy("item_id").agg(F.min(F.col("plain").cast("int")).alias("plain")).where("plain = 1").select("item_id")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import keep_columns, materialize, small
+from .storage import keep_columns, materialize
 
 THRESHOLD = 0.98
 NEIGHBOURS = 8
@@ -158,7 +158,7 @@ def _tiles(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, p
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
     blocks = lambda rows, name: rows.groupBy("part").agg(F.ceil(F.count("*") / TILE).alias(name))
-    sizes = small(materialize(blocks(left, "lows").join(blocks(right, "highs"), "part"), "sizes"))
+    sizes = (materialize(blocks(left, "lows").join(blocks(right, "highs"), "part"), "sizes"))
     hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     first = left.join(sizes, "part").withColumn("low", hashed("lows")).withColumn("high", every("highs")).withColumn("first", F.lit(True))
@@ -200,7 +200,7 @@ def saturated_links(graph: DataFrame, nodes: DataFrame, found: DataFrame, thresh
     full = graph.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURS)
     named = materialize(nodes.select("cell", "node", "embedding").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     hot = named.join(full, "node").select("component").distinct()
-    members = materialize(named.join(small(materialize(hot, "hot")), "component"), "saturated")
+    members = materialize(named.join(materialize(hot, "hot"), "component"), "saturated")
     # the centre is the component's least node
     reach = _similar(members.select(F.col("component").alias("a"), F.col("node").alias("b")), nodes).groupBy(F.col("a").alias("node")).agg(F.min("sim").alias("sim"))
     widest = F.acos(F.least(F.col("sim"), F.lit(1.0))) + float(np.arccos(threshold)) + 1e-6
@@ -253,7 +253,7 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     sizes = materialize(nodes.groupBy("cell").agg(F.count("*").alias("n")), "cells")
     rate = F.greatest(F.lit(AUDITED), CELL_QUERIES / F.col("n"), F.lit(QUERIES / max(1, nodes.count())))
     drawn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < rate * (1 << 30)
-    chosen = materialize(nodes.join(small(sizes), "cell").where(drawn).select(F.col("cell").alias("part"), "node", "copies", "embedding"), "queries")
+    chosen = materialize(nodes.join(sizes, "cell").where(drawn).select(F.col("cell").alias("part"), "node", "copies", "embedding"), "queries")
 
     def count(x: pd.DataFrame, y: pd.DataFrame, cosines: np.ndarray) -> pd.DataFrame:
         hit = (cosines >= threshold) & (x["node"].to_numpy()[:, None] != y["node"].to_numpy()[None, :])
@@ -280,7 +280,7 @@ def _search(nodes: DataFrame, threshold: float, attempt: int) -> DataFrame:
         graph, linked = materialize(graph, "graph"), linked.union(met)
     # the threshold decides on cosines in double precision, whatever the search used
     linked = materialize(linked.distinct(), "linked")
-    across = saturated_links(graph, nodes, connected_components(linked, "classes"), threshold)
+    across = saturated_links(graph, nodes, connected_components(linked), threshold)
     return linked.union(materialize(across, "across"))
 
 
@@ -294,7 +294,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     linked, open_nodes, audits = spark.createDataFrame([], "a bigint, b bigint"), nodes, {}
     for attempt in range(ATTEMPTS + 1):
         linked = linked.union(_search(open_nodes, threshold, attempt) if attempt < ATTEMPTS else materialize(all_links(open_nodes, threshold), "pairs"))
-        found = connected_components(linked, "classes")
+        found = connected_components(linked)
         members = materialize(nodes.join(found, "node"), "members")
         links = materialize(component_links(members, threshold), "links")
         if attempt == ATTEMPTS:

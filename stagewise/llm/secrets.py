@@ -26,7 +26,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, small
+from .storage import materialize
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES, keep: list[str] | N
     texts = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "doc_id"])], F.coalesce("text", F.lit("")).alias("_text"))
     texts = texts.withColumn("_key", F.xxhash64("doc_id", "_text"))
     found = materialize(candidates(texts.select(F.col("_key").alias("key"), F.col("_text").alias("text")), rules), "candidates")
-    joined = texts.join(small(found.withColumnRenamed("key", "_key")), "_key", "left")
+    joined = texts.join(found.withColumnRenamed("key", "_key"), "_key", "left")
     text, parts = F.col("_text"), []
     none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint,body:int>>")
     for r, rule in enumerate(rules):

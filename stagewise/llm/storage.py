@@ -6,20 +6,24 @@ Lineage is cut by writing Parquet under the folder that the session names in
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where none is set."""
+    """The session's checkpoint folder; in local mode, where none is set, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "stagewise-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,7 +34,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/stagewise-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stagewise_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more.
+
+    The JVM is asked to collect its garbage, as Spark's cleaner removes the
+    shuffle files of finished jobs only when the driver's references are gone.
+    """
+    for df in tables:
+        path = df.stagewise_path
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -38,28 +60,53 @@ def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def keyed_rows(df: DataFrame) -> tuple[DataFrame, str]:
-    """A materialized table with a key of its own for each row, and the key's column name."""
-    key = "row_key"
-    while key in (c.lower() for c in df.columns):
-        key += "_"
-    return materialize(df.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores, which no column of the table has."""
+    while name in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def row_hash() -> Column:
+    """A 64-bit key of a row, made of doc_id and text: equal for repeated rows (and some 270 pairs of 10^11 others)."""
+    return F.xxhash64("doc_id", "text")
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row's hash in the place of doc_id."""
+    return docs.select(row_hash().alias("doc_id"), "text")
+
+
+def drop_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows whose hash is no doc_id of ``found``, a materialized table."""
+    key = free_name(docs, "row_key")
+    return docs.withColumn(key, row_hash()).join(found.select(F.col("doc_id").alias(key)), key, "left_anti").drop(key)
+
 
+def hash_bitmap(df: DataFrame, column: str, digits: int = 24) -> np.ndarray:
+    """Bits of the leading binary digits of 64-bit hashes: 2 MB, and 2^18 rows for the driver at most.
 
-def by_row(rows: DataFrame, key: str) -> DataFrame:
-    """(doc_id, text) with the row's key in the place of doc_id."""
-    return rows.select(F.col(f"`{key}`").alias("doc_id"), "text")
+    The size does not depend on the table; a fuller bitmap only lets more strangers pass.
+    """
+    top = f"shiftrightunsigned({column}, {64 - digits})"
+    words = df.selectExpr(f"shiftright({top}, 6) as at", f"shiftleft(1L, cast({top} & 63 as int)) as bit")
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (digits - 6), dtype=np.int64)
+    bits[found["at"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint64)
 
 
-def drop_rows(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    """The rows whose key is no doc_id of ``found``, without the key."""
-    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").drop(key)
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned) hashes the bitmap lets pass."""
+    digits = 6 + len(bits).bit_length() - 1
+    at = hashes >> np.uint64(64 - digits)
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-#: Rows up to which a two-column table of ids may be broadcast (about 64 MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of one 64-bit column may be broadcast: 8 MB of ids.
+BROADCAST_IDS = 1_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the (materialized) table has at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def few_ids(ids: DataFrame) -> DataFrame:
+    """A materialized table of one 64-bit column, with a broadcast hint if it has at most ``BROADCAST_IDS`` rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -35,11 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ngram_jaccard import repeated_rows
-from .storage import keep_columns, materialize, small
+from .storage import keep_columns, materialize
 from .text import LocalRepeats, Words, mix, slices, window_hashes
 
 WINDOW = 20
@@ -136,6 +135,12 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor bigint, hash bigint, doc_id bigint, place bigint")
 
 
+def repeated_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key other rows have too; a task's marks count without a meeting."""
+    w = Window.partitionBy(key, "salt")
+    return rows.withColumn("many", F.count("*").over(w) > 1).where("many or repeated").drop("many", "salt", "repeated")
+
+
 def duplicate_factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, row, start, windows): runs of duplicate windows; docs has doc_id, row, text."""
     rows = materialize(repeated_rows(phrase_rows(docs, window, anchor), "anchor"), "phrases")
@@ -149,7 +154,7 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     boundary = materialize(parsed.where("not later").join(several, "anchor").select("anchor", "doc_id", "place", "windows"), "boundaries")
     asked = boundary.groupBy("doc_id", F.shiftright("place", 32).alias("row")).agg(F.collect_list(F.struct("anchor", "place", "windows")).alias("asked"))
     ids = materialize(asked, "asked")
-    windows = materialize(_window_rows(docs.join(small(ids, 200_000), ["doc_id", "row"]).select("doc_id", "text", "asked"), window), "windows")
+    windows = materialize(_window_rows(docs.join(ids, ["doc_id", "row"]).select("doc_id", "text", "asked"), window), "windows")
     first = windows.groupBy("anchor", "hash").agg(F.min(F.struct("doc_id", "place")).alias("source"))
     single = windows.join(first, ["anchor", "hash"]).where(F.struct("doc_id", "place") > F.col("source")).select("doc_id", "place", F.lit(1).alias("windows"))
     found = rows.where("matched").select("doc_id", "place", "windows").union(parsed.where("later").select("doc_id", "place", "windows")).union(single)
@@ -165,7 +170,7 @@ def cut_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = keep_columns(docs, "doc_id", "text").withColumn("row", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
     factors = duplicate_factors(texts.where("doc_id is not null"), window, anchor)
     lists = materialize(factors.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("factors")), "factors")
-    joined = texts.join(small(lists, 200_000), ["doc_id", "row"], "left").select("doc_id", "text", "factors")
+    joined = texts.join(lists, ["doc_id", "row"], "left").select("doc_id", "text", "factors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
