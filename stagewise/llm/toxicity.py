@@ -26,6 +26,7 @@ are scored each; an empty table gives no rows; extra columns of the input are no
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -300,8 +301,11 @@ def train(texts: list[str | None], toxic: list[int], share: tuple[float, float]
     return CrfModel(emit.astype(np.float32), trans, document, True)
 
 
-def sample_training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[list, list, tuple[float, float]]:
-    """A sample of labelled texts, bounded in rows and bytes: ids are chosen from ``labels`` alone and broadcast."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, toxic) of a sample bounded in rows and bytes, and the labelled rows of each class.
+
+    Ids are chosen from ``labels`` alone and broadcast.
+    """
     flags = keep_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     counts = {r.toxic: r.n for r in flags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ranked = [flags.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
@@ -310,9 +314,7 @@ def sample_training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SA
     found = small.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("rank").alias("rank"))
     # at most per_class rows a class
     upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy("rank"))
-    rows = sorted(found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "toxic").collect(), key=lambda r: r.doc_id)
-    taken = [sum(r.toxic == k for r in rows) for k in (0, 1)]
-    return [r.text for r in rows], [r.toxic for r in rows], tuple(min(1.0, per_class / max(1, counts.get(k, 0))) if taken[k] else 1.0 for k in (0, 1))
+    return found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "toxic"), counts
 
 
 def _scored(model: CrfModel, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Tokens, np.ndarray]:
@@ -355,8 +357,17 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CrfModel:
-    """Train on labelled rows outside the held-out fold."""
-    return train(*sample_training_rows(docs, labels.where(~held_out())))
+    """Train on a sample of labelled rows outside the held-out fold, in one task; only the model reaches the driver."""
+    sample, counts = training_sample(docs, labels.where(~held_out()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, y, t) for batch in batches for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
+        toxic = [y for _, y, _ in rows]
+        share = tuple(min(1.0, SAMPLE_PER_CLASS / max(1, counts.get(k, 0))) if k in toxic else 1.0 for k in (0, 1))
+        yield pa.record_batch([pa.array([pickle.dumps(train([t for _, _, t in rows], toxic, share))])], ["model"])
+
+    found = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train([], [])
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, at: float = PREDICT_AT) -> DataFrame:
