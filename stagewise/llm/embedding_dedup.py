@@ -3,17 +3,20 @@
 Vectors compare within one label (and one length). Equal vectors are one node.
 The neighbour graph starts from random-hyperplane sort orders: vectors sorted by
 their sign codes are near their neighbours, and each takes the nearest of a few
-that follow it. NN-descent then joins neighbours of neighbours (both directions)
-and keeps each node's nearest; a list that is full of links is saturated and may
-hold twice as many in the next round. Lists only steer the search: every edge
-found at or above the threshold is kept for the components, whatever its rank.
+that follow it. NN-descent then joins neighbours of neighbours (both directions),
+pairs with an edge that is new since the last round only, and keeps each node's
+nearest, until less than ``CONVERGED`` of the edges are new; a list that is full
+of links is saturated and may hold twice as many. Lists only steer the search:
+every edge found at or above the threshold is kept for the components, whatever
+its rank, and two links of one node are not compared, as it joins them already.
 
 What saturated lists can't hold is completed exactly. A component with a
 saturated node is compared, in tiles of bounded size, with every vector of its
-label outside it that the triangle inequality lets link with it. The vectors of
-a connected component are then multiplied in tiles, which counts every direct
-link inside it without listing pairs. A hash sample of each label's vectors,
-which grows with the label, is compared with all its vectors; each query counts
+label outside it that the triangle inequality lets link with it. The direct
+links inside a component are counted without listing pairs: members within half
+the threshold's angle of the component's centre all link with each other, and
+the others are multiplied with all members in tiles. A hash sample of each label's vectors,
+which grows with the root of the label's size, is compared with all its vectors; each query counts
 once, however many links it has. A label in which any query lacks a link is
 searched again with more sort orders, and after ``ATTEMPTS`` searches all its
 pairs are compared in tiles. The column ``recall`` is the part of all queries
@@ -32,22 +35,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import keep_columns, materialize
+from .storage import discard, keep_columns, materialize
 
 THRESHOLD = 0.98
 NEIGHBOURS = 8
 ORDERS = 10
 AHEAD = 4
-ROUNDS = 2
+#: Share of new edges at which the descent has converged, and most rounds before the audit decides.
+CONVERGED, MOST_ROUNDS = 0.01, 8
 TILE = 512
-#: Queries of the audit: of the whole table, of a label, and the least part of either.
-QUERIES = 1000
-CELL_QUERIES = 64
-AUDITED = 0.02
+#: Vectors of small groups that share a task's call.
+BATCH = 20_000
+#: Queries of the audit: of the whole table, of a label at least, and times the root of a label's size.
+QUERIES, CELL_QUERIES, ROOT_QUERIES = 1000, 64, 2
 ATTEMPTS = 3
 
 
@@ -56,6 +61,16 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a list column that have one length, and their unit vectors in double precision."""
+    offsets, flat = np.asarray(column.offsets), np.asarray(column.values)
+    size = np.diff(offsets)
+    for length in np.unique(size).tolist():
+        rows = np.flatnonzero(size == length)
+        x = flat[offsets[rows][:, None] + np.arange(length)].astype(np.float64)
+        yield rows, x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _usable() -> F.Column:
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return F.coalesce((F.size("embedding") > 0) & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
@@ -64,62 +79,67 @@ def _usable() -> F.Column:
 def _sorted_edges(nodes: DataFrame, orders: int, seed: int) -> DataFrame:
     """(a, b, sim): near vectors in random-hyperplane sort orders, both directions."""
 
-    def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for length, group in part.groupby(part["embedding"].map(len)):
-                x = _unit(group["embedding"])
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _by_length(batch.column("embedding")):
+                part = batch.take(pa.array(rows))
                 for order in range(seed, seed + orders):
-                    planes = np.random.default_rng([order, length]).standard_normal((length, 30))
+                    planes = np.random.default_rng([order, x.shape[1]]).standard_normal((x.shape[1], 30))
                     code = ((x @ planes > 0) @ (1 << np.arange(30))[::-1]).astype(np.int64)
-                    yield pd.DataFrame({"order": order, "cell": group["cell"], "code": code, "node": group["node"], "embedding": group["embedding"]})
+                    yield pa.record_batch([pa.array(np.full(len(rows), order, np.int32)), part.column("cell"), pa.array(code), part.column("node"), part.column("embedding")], ["order", "cell", "code", "node", "embedding"])
 
-    def ahead(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
-        for part in parts:
-            part = part if tail is None else pd.concat([tail, part], ignore_index=True)
-            fresh = 0 if tail is None else len(tail)
-            tail = part.tail(AHEAD)
-            group = pd.factorize(part["order"].astype(str) + ":" + part["cell"].astype(str))[0]
-            node = part["node"].to_numpy()
-            for length, rows in part.groupby(part["embedding"].map(len)).indices.items():
-                x = _unit(part["embedding"].iloc[rows])
+        for batch in batches:
+            fresh = 0 if tail is None else tail.num_rows
+            part = batch if tail is None else pa.concat_batches([tail, batch])
+            tail = part.slice(max(0, part.num_rows - AHEAD))
+            order, cell, node = (np.asarray(part.column(c)) for c in ("order", "cell", "node"))
+            for rows, x in _by_length(part.column("embedding")):
                 found = []
                 for step in range(1, AHEAD + 1):
                     i = np.arange(len(rows) - step)
-                    i = i[(rows[i + step] >= fresh) & (group[rows[i]] == group[rows[i + step]])]
+                    one, two = rows[i], rows[i + step]
+                    i = i[(two >= fresh) & (order[one] == order[two]) & (cell[one] == cell[two])]
                     found.append(pd.DataFrame({"a": node[rows[i]], "b": node[rows[i + step]], "sim": np.einsum("ij,ij->i", x[i], x[i + step])}))
                 edges = pd.concat(found)
                 both = pd.concat([edges, edges.rename(columns={"a": "b", "b": "a"})])
                 best = both["sim"] >= both.groupby("a")["sim"].transform("max")
-                yield both[best | (both["sim"] >= 0.7)][["a", "b", "sim"]]
+                yield pa.RecordBatch.from_pandas(both[best | (both["sim"] >= 0.7)][["a", "b", "sim"]], preserve_index=False)
 
-    rows = nodes.select("cell", "node", "embedding").mapInPandas(coded, "order int, cell bigint, code bigint, node bigint, embedding array<float>")
+    rows = nodes.select("cell", "node", "embedding").mapInArrow(coded, "order int, cell bigint, code bigint, node bigint, embedding array<float>")
+    # range bounds are sampled: the rows are written first, so that they are not made twice
+    rows = materialize(rows, "codes")
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     spread = rows.repartitionByRange(int(parts), "order", "cell", "code", "node").sortWithinPartitions("order", "cell", "code", "node")
-    return spread.mapInPandas(ahead, "a bigint, b bigint, sim double").where("a <> b")
+    out = materialize(spread.mapInArrow(ahead, "a bigint, b bigint, sim double").where("a <> b"), "edges")
+    discard(rows)
+    return out
 
 
 def _nearest(edges: DataFrame, saturated_at: float) -> DataFrame:
-    """The nearest ``NEIGHBOURS`` of each node, twice as many where all of them are links."""
-    one = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """The nearest ``NEIGHBOURS`` of each node, twice as many where all of them are links.
+
+    edges: (a, b, sim, known); the result's ``fresh`` tells edges that were not known.
+    """
+    one = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), (~F.max("known")).alias("fresh"))
     ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("place") <= 2 * NEIGHBOURS)
     full = F.max((F.col("place") == NEIGHBOURS) & (F.col("sim") >= saturated_at)).over(Window.partitionBy("a"))
-    return ranked.withColumn("full", full).where((F.col("place") <= NEIGHBOURS) | F.col("full")).select("a", "b", "sim")
+    return ranked.withColumn("full", full).where((F.col("place") <= NEIGHBOURS) | F.col("full")).select("a", "b", "sim", "fresh")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, sim) of pairs, the cosine in double precision."""
 
-    def cosine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                sim = np.concatenate([np.einsum("ij,ij->i", _unit(g["x"]), _unit(g["y"])) for _, g in part.groupby(part["x"].map(len), sort=False)])
-                order = np.concatenate([rows for rows in part.groupby(part["x"].map(len), sort=False).indices.values()])
-                yield pd.DataFrame({"a": part["a"].to_numpy()[order], "b": part["b"].to_numpy()[order], "sim": sim})
+    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (rows, x), (_, y) in zip(_by_length(batch.column("x")), _by_length(batch.column("y"))):
+                yield pa.record_batch([batch.column("a").take(pa.array(rows)), batch.column("b").take(pa.array(rows)), pa.array(np.einsum("ij,ij->i", x, y))], ["a", "b", "sim"])
 
+    # vectors of one cell have one length
     left = pairs.join(nodes.select(F.col("node").alias("a"), "cell", F.col("embedding").alias("x")), "a")
     both = left.join(nodes.select(F.col("node").alias("b"), F.col("cell").alias("other"), F.col("embedding").alias("y")), "b").where("cell = other")
-    return both.select("a", "b", "x", "y").mapInPandas(cosine, "a bigint, b bigint, sim double")
+    return both.select("a", "b", "x", "y").mapInArrow(cosine, "a bigint, b bigint, sim double")
 
 
 def _links(edges: DataFrame, threshold: float) -> DataFrame:
@@ -128,18 +148,26 @@ def _links(edges: DataFrame, threshold: float) -> DataFrame:
 
 
 def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """One round: pairs of neighbours of a node, both directions, then the nearest again; and all links met."""
-    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
+    """One round: pairs of neighbours of a node, both directions, then the nearest again; and all links met.
+
+    Both results are materialized. A node has at most 3 * ``NEIGHBOURS`` neighbours.
+    """
+    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "fresh")
     back = back.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("place") <= NEIGHBOURS).drop("place")
-    around = graph.union(back).select("a", "b").distinct()
-    other = around.select("a", F.col("b").alias("c"))
-    pairs = around.join(other, "a").where("b < c").select(F.col("b").alias("a"), F.col("c").alias("b")).distinct()
+    around = graph.union(back).groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh"))
+    other = around.select("a", F.col("b").alias("c"), F.col("sim").alias("sim_c"), F.col("fresh").alias("fresh_c"))
+    # two links of a node are joined by it, and counted with their component
+    useful = (F.col("fresh") | F.col("fresh_c")) & (F.least("sim", "sim_c") < threshold)
+    pairs = around.join(other, "a").where("b < c").where(useful).select(F.col("b").alias("a"), F.col("c").alias("b")).distinct()
     known = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     new = materialize(_similar(pairs.join(known, ["a", "b"], "left_anti"), nodes).where("sim >= 0.7"), "similar")
     # both directions of a pair from one row, so that no cosine is computed twice
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    both = new.select(ends.alias("pair"), "sim").select("pair.a", "pair.b", "sim")
-    return _nearest(graph.union(both), threshold), _links(new, threshold)
+    both = new.select(ends.alias("pair"), "sim").select("pair.a", "pair.b", "sim", F.lit(False).alias("known"))
+    nearest = materialize(_nearest(graph.select("a", "b", "sim", F.lit(True).alias("known")).union(both), threshold), "graph")
+    links = materialize(_links(new, threshold), "met")
+    discard(new)
+    return nearest, links
 
 
 def _tiles(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
@@ -158,14 +186,15 @@ def _tiles(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, p
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
     blocks = lambda rows, name: rows.groupBy("part").agg(F.ceil(F.count("*") / TILE).alias(name))
-    sizes = (materialize(blocks(left, "lows").join(blocks(right, "highs"), "part"), "sizes"))
+    sizes = materialize(blocks(left, "lows").join(blocks(right, "highs"), "part"), "sizes")
     hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     first = left.join(sizes, "part").withColumn("low", hashed("lows")).withColumn("high", every("highs")).withColumn("first", F.lit(True))
     second = right.join(sizes, "part").withColumn("high", hashed("highs")).withColumn("low", every("lows")).withColumn("first", F.lit(False))
     tiles = first.unionByName(second).withColumn("tile", F.xxhash64("part", "low", "high"))
     # parts of one tile share a task's call
-    key = F.when(F.col("lows") * F.col("highs") == 1, F.pmod(F.xxhash64("part"), F.lit(256))).otherwise(F.col("tile"))
+    calls = max(64, sizes.where("lows * highs = 1").count() * TILE // BATCH)
+    key = F.when(F.col("lows") * F.col("highs") == 1, F.pmod(F.xxhash64("part"), F.lit(calls))).otherwise(F.col("tile"))
     return tiles.withColumn("key", key).drop("part", "lows", "highs", "low", "high").groupBy("key").applyInPandas(multiply, schema)
 
 
@@ -216,42 +245,35 @@ def saturated_links(graph: DataFrame, nodes: DataFrame, found: DataFrame, thresh
     return _tiles(members.select(F.col("component").alias("part"), "node", "embedding"), outside, _stars(threshold), "a bigint, b bigint").distinct()
 
 
-def _tile_links(threshold: float):
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in group.groupby("component"):
-            node, copies, block = part["node"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
-            x, y = np.flatnonzero(block == part["low"].iloc[0]), np.flatnonzero(block == part["high"].iloc[0])
-            unit = _unit(part["embedding"])
-            linked = unit[x] @ unit[y].T >= threshold
-            linked &= node[x][:, None] != node[y][None, :]
-            out.append(pd.DataFrame({"node": node[x], "links": linked @ copies[y]}))
-            if part["low"].iloc[0] != part["high"].iloc[0]:
-                out.append(pd.DataFrame({"node": node[y], "links": copies[x] @ linked}))
-        return pd.concat(out)
-
-    return count
+def component_links(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): direct links of each node inside its component, each copy of a node counted.
 
+    members: (component, node, copies, embedding), materialized. Nodes within
+    half the threshold's angle of their component's least node, the core, link
+    with each other by the triangle inequality; the others are compared with all.
+    """
+    reach = _similar(members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), nodes).select(F.col("b").alias("node"), "sim")
+    half = float(np.cos(np.arccos(threshold) / 2 - 1e-7))
+    marked = materialize(members.join(reach, "node", "left").withColumn("core", F.coalesce(F.col("sim") >= half, F.lit(True))).drop("sim"), "marked")
+    core = marked.where("core").groupBy("component").agg(F.sum("copies").alias("together"))
+    inside = marked.where("core").join(core, "component").select("node", (F.col("together") - F.col("copies")).alias("links"))
 
-def component_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): direct links of each node inside its component, counted in tiles.
+    def count(x: pd.DataFrame, y: pd.DataFrame, cosines: np.ndarray) -> pd.DataFrame:
+        linked = (cosines >= threshold) & (x["node"].to_numpy()[:, None] != y["node"].to_numpy()[None, :])
+        own = pd.DataFrame({"node": x["node"], "links": linked @ y["copies"].to_numpy()})
+        # what lies in the core learns of its links with the others here, as the others are compared with all
+        core = y["core"].to_numpy()
+        return pd.concat([own, pd.DataFrame({"node": y["node"][core], "links": x["copies"].to_numpy() @ linked[:, core]})])
 
-    members: (component, node, copies, embedding).
-    """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    cut = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    # small components share a task's call
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(256))).otherwise(F.xxhash64("component", "low", "high"))
-    rows = tiles.select(key.alias("key"), F.xxhash64("component", "low", "high").alias("component"), "node", "copies", "embedding", "block", "low", "high")
-    return rows.groupBy("key").applyInPandas(_tile_links(threshold), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+    rows = marked.select(F.col("component").alias("part"), "node", "copies", "core", "embedding")
+    across = _tiles(rows.where("not core"), rows, count, "node bigint, links bigint")
+    return inside.union(across).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """(cell, queries, complete): query nodes of each cell, and how many have all their true links."""
     sizes = materialize(nodes.groupBy("cell").agg(F.count("*").alias("n")), "cells")
-    rate = F.greatest(F.lit(AUDITED), CELL_QUERIES / F.col("n"), F.lit(QUERIES / max(1, nodes.count())))
+    rate = F.greatest(F.greatest(F.lit(CELL_QUERIES), ROOT_QUERIES * F.sqrt("n")) / F.col("n"), F.lit(QUERIES / max(1, nodes.count())))
     drawn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < rate * (1 << 30)
     chosen = materialize(nodes.join(sizes, "cell").where(drawn).select(F.col("cell").alias("part"), "node", "copies", "embedding"), "queries")
 
@@ -272,16 +294,27 @@ def all_links(nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _search(nodes: DataFrame, threshold: float, attempt: int) -> DataFrame:
-    """(a, b): edges that join the links found by one search."""
-    edges = materialize(_sorted_edges(nodes, ORDERS, seed=1 + attempt * ORDERS), "edges")
-    graph, linked = materialize(_nearest(edges, threshold), "graph"), _links(edges, threshold)
-    for _ in range(ROUNDS):
+    """(a, b): edges that join the links found by one search; materialized."""
+    edges = _sorted_edges(nodes, ORDERS, seed=1 + attempt * ORDERS)
+    graph, linked = materialize(_nearest(edges.withColumn("known", F.lit(False)), threshold), "graph"), [materialize(_links(edges, threshold), "met")]
+    discard(edges)
+    for _ in range(MOST_ROUNDS):
+        before = graph
         graph, met = descend(graph, nodes, threshold)
-        graph, linked = materialize(graph, "graph"), linked.union(met)
+        linked.append(met)
+        discard(before)
+        state = graph.agg(F.count("*").alias("edges"), F.sum(F.col("fresh").cast("bigint")).alias("new")).first()
+        if (state.new or 0) <= CONVERGED * state.edges:
+            break
     # the threshold decides on cosines in double precision, whatever the search used
-    linked = materialize(linked.distinct(), "linked")
-    across = saturated_links(graph, nodes, connected_components(linked), threshold)
-    return linked.union(materialize(across, "across"))
+    every = linked[0]
+    for met in linked[1:]:
+        every = every.union(met)
+    found = connected_components(every)
+    across = saturated_links(graph, nodes, found, threshold)
+    out = materialize(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(across), "joined")
+    discard(graph, found, *linked)
+    return out
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,7 +329,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         linked = linked.union(_search(open_nodes, threshold, attempt) if attempt < ATTEMPTS else materialize(all_links(open_nodes, threshold), "pairs"))
         found = connected_components(linked)
         members = materialize(nodes.join(found, "node"), "members")
-        links = materialize(component_links(members, threshold), "links")
+        links = materialize(component_links(members, nodes, threshold), "links")
+        discard(members)
         if attempt == ATTEMPTS:
             audits |= {c: (q, q) for c, (q, complete) in audits.items() if complete < q}
             break
