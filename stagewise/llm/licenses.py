@@ -5,7 +5,8 @@ picks the texts that any rule can match, and for each the rules whose keyword it
 holds; rules are a small constant table, joined by keyword, and each regex runs
 over the whole normalised text. Of overlapping detections, one that lies within
 another of higher priority, or of equal priority and greater length, is
-suppressed.
+suppressed: in the order of starts, longer ones first, it is one whose end does
+not pass the furthest end met so far among those of its priority or a higher one.
 
 Rules come from a table of license names, versions and wordings (about 400
 regexes). Besides them, three fixed phrases are counted at all their places.
@@ -17,9 +18,10 @@ to the rule that comes first; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .spans import matches
 from .storage import keep_columns, materialize
 
 # Phrases that are counted, and their labels.
@@ -138,28 +140,19 @@ def detections(words: DataFrame, keywords: list[str]) -> DataFrame:
     table = [(keywords.index(k), i, label, f"(?<= ){pattern}(?= )", priority, confidence) for i, (k, label, pattern, priority, confidence) in enumerate(signature_rules())]
     rules = words.sparkSession.createDataFrame(table, "keyword int, rule int, label string, pattern string, priority int, confidence double")
     pairs = words.where("words is not null").select("row", "words", F.explode("held").alias("keyword")).join(F.broadcast(rules), "keyword").where(F.rlike("words", F.col("pattern")))
-    zipped = F.arrays_zip(F.split("words", F.col("pattern"), -1).alias("piece"), F.regexp_extract_all("words", F.col("pattern"), F.lit(0)).alias("match"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["piece"])
-        end = start + F.char_length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
-
-    spans = F.aggregate(F.filter(zipped, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    found = pairs.select("row", "rule", "label", "priority", "confidence", F.explode(spans).alias("span")).select("row", "rule", "label", "priority", "confidence", "span.start", "span.end")
-    # the detections of one text
-    listed = found.groupBy("row").agg(F.collect_list(F.struct("start", "end", "priority", "rule", "label", "confidence")).alias("found"))
-
-    def beaten(x: Column) -> Column:
-        def by(y: Column) -> Column:
-            longer = (y["end"] - y["start"]) - (x["end"] - x["start"])
-            better = (y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & ((longer > 0) | ((longer == 0) & (y["rule"] < x["rule"]))))
-            return (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & better
-
-        return F.exists("found", by)
-
-    return listed.select("row", F.explode(F.filter("found", lambda x: ~beaten(x))).alias("d")).select("row", "d.label", "d.confidence", "d.start", "d.end")
+    spans = F.explode(matches(F.col("words"), F.col("pattern"))).alias("span")
+    found = pairs.select("row", "rule", "label", "priority", "confidence", spans).select("row", "rule", "label", "priority", "confidence", "span.start", "span.end")
+    return unsuppressed(found)
+
+
+def unsuppressed(found: DataFrame) -> DataFrame:
+    """The detections (row, rule, label, priority, confidence, start, end) that lie within no stronger one."""
+    # a container comes before what it contains; of equal spans the stronger, then the earlier rule
+    before = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted({rule[3] for rule in signature_rules()})
+    reach = [F.max(F.when(F.col("priority") >= level, F.col("end"))).over(before) for level in levels]
+    own = F.coalesce(*[F.when(F.col("priority") == level, end) for level, end in zip(levels, reach)])
+    return found.withColumn("reach", own).where("reach is null or reach < end").select("row", "label", "confidence", "start", "end")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

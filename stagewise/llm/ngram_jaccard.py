@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, few_ids, free_name, hash_bitmap, in_bitmap, keep_columns, materialize, row_hash
+from .storage import discard, few_rows, free_name, hash_bitmap, in_bitmap, keep_columns, materialize, row_hash
 from .text import LocalRepeats, Words, mix, slices, window_hashes
 
 #: Shapes of an instance, (missing, pieces), by number of signatures; mean shingles that a signature should hold.
@@ -310,7 +310,7 @@ class Sets:
                     yield pa.record_batch([part.column("row"), _as_long(_set_ids(values, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _as_long(values))], ["row", "set_id", "shingles"])
 
         # the bitmap leaves few strangers to the join
-        found = self.texts.select("row", "text").mapInArrow(run, "row bigint, set_id bigint, shingles array<bigint>").join(few_ids(rows), "row", "left_semi")
+        found = self.texts.select("row", "text").mapInArrow(run, "row bigint, set_id bigint, shingles array<bigint>").join(few_rows(rows), "row", "left_semi")
         out = materialize(found.dropDuplicates(["row"]) if self.repeated_rows else found, "shingles")
         discard(rows)
         return out

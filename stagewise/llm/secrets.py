@@ -1,20 +1,22 @@
 """Secret scans with a trigram inverted index, in DataFrame operations only.
 
 Each rule's regex is turned into a Boolean trigram query: an OR of ANDs of the
-trigrams that any match must hold, in lower case. The index has a posting list
-of documents for each trigram that some rule asks for, in segments of bounded
-size. Lists of a clause are intersected, and the documents left are verified
+trigrams that any match must hold, in lower case; of a clause's trigrams the
+``CLAUSE_TRIGRAMS`` rarest ones are asked for. One pass of one regex finds the
+trigrams of a text that some rule asks for. The index has a posting list
+of documents for each of them, in segments of bounded size. Lists of a clause are intersected, and the documents left are verified
 with the regex itself; rules without mandatory trigrams (``hex``) scan every
 text. Documents are known in the index by a hash of id and text; a collision
 only adds a candidate, which the regex then drops.
 
 Spans are code-point offsets, end exclusive, of the leftmost non-overlapping
-matches of each rule. The three base kinds keep only long enough matches; the
+matches of each rule, found at a cost linear in their number. The three base kinds keep only long enough matches; the
 rules after them add spans of their own.
 
 Edge cases: null text is empty and has no spans; repeated rows are scanned each;
 ties of start go in the order of the rules; a null doc_id is kept; an empty
-table gives no rows; columns other than doc_id and text are ignored.
+table gives no rows; columns other than doc_id and text are ignored, whatever
+their names, and redaction keeps them; n_chars, if there is one, follows the text.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .spans import matches, replaced
+from .storage import discard, few_rows, materialize
 
 
 @dataclass(frozen=True)
@@ -61,7 +64,10 @@ MORE_RULES = [
 RULES = BASE_RULES + MORE_RULES
 
 SEGMENT_DOCUMENTS = 2000
+CLAUSE_TRIGRAMS = 2
 _GAP, _MOST = None, 64
+#: Characters of English text by frequency; others are rarer.
+_FREQUENT = " etaoinshrdlcumwfgypbvk-jxqz"
 
 
 def _expand(items) -> list[tuple]:
@@ -118,66 +124,72 @@ def _java(rule: Rule) -> str:
     return ("(?i)" if rule.any_case else "") + rule.pattern
 
 
+def asked_trigrams(clause: frozenset[str]) -> list[str]:
+    """The rarest trigrams of a clause; each of them is mandatory on its own."""
+    often = lambda gram: (sum(1 / (1 + _FREQUENT.index(c)) if c in _FREQUENT else 0.02 for c in gram), gram)
+    return sorted(sorted(clause, key=often)[:CLAUSE_TRIGRAMS])
+
+
+def trigram_finder(trigrams: list[str]) -> str:
+    """A regex that matches without length wherever one of the trigrams starts; group 1 is the trigram."""
+    quoted = lambda text: "".join(f"\\x{ord(c):02x}" for c in text)
+    heads = {}
+    for gram in trigrams:
+        heads.setdefault(gram[0], []).append(quoted(gram[1:]))
+    return "(?=(" + "|".join(f"{quoted(head)}(?:{'|'.join(tails)})" for head, tails in heads.items()) + "))"
+
+
 def index_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(segment, trigram number, documents): the inverted index of the trigrams asked for."""
-    lowered = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    """(segment, trigram, documents): the inverted index of the trigrams asked for."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(trigram_finder(trigrams)), F.lit(1)))
     rows = docs.select("key", F.explode(held).alias("trigram"))
     segments = max(1, docs.count() // SEGMENT_DOCUMENTS)
     return rows.withColumn("segment", F.pmod("key", F.lit(segments))).groupBy("segment", "trigram").agg(F.collect_list("key").alias("documents"))
 
 
 def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(key, mask): bit r of the mask is set if rule r's query holds for the document."""
+    """(key, mask): bit r of the mask is set if rule r's query holds for the document. Materialized."""
     spark = docs.sparkSession
-    queries = {r: q for r, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) is not None}
+    queries = {r: [asked_trigrams(clause) for clause in q] for r, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) is not None}
     trigrams = sorted({t for q in queries.values() for clause in q for t in clause})
-    number = {t: i for i, t in enumerate(trigrams)}
-    clauses = [(number[t], r, c, len(clause)) for r, q in queries.items() for c, clause in enumerate(q) for t in sorted(clause)]
-    asked = spark.createDataFrame(clauses, "trigram int, rule int, clause int, need int")
+    clauses = [(t, r, c, len(clause)) for r, q in queries.items() for c, clause in enumerate(q) for t in clause]
+    asked = spark.createDataFrame(clauses, "trigram string, rule int, clause int, need int")
     postings = materialize(index_postings(docs, trigrams), "postings")
     lists = postings.join(F.broadcast(asked), "trigram").groupBy("segment", "rule", "clause").agg(F.collect_list("documents").alias("lists"), F.first("need").alias("need")).where(F.size("lists") == F.col("need"))
-    both = F.aggregate(F.slice("lists", 2, len(trigrams)), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
+    both = F.aggregate(F.slice("lists", 2, CLAUSE_TRIGRAMS), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
     found = lists.select("rule", F.explode(both).alias("key"))
-    return found.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
+    out = materialize(found.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask")), "candidates")
+    discard(postings)
+    return out
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of a rule: lengths of the pieces between matches and of the matches, summed up."""
+    """(start, rule, end) of a rule's matches that are long enough."""
     pattern = F.lit(_java(rule))
     if rule.kind == "hex":
         # a run of hex digits is a match as a whole, so short runs can be passed over
         pattern = F.lit(r"(?<![0-9a-f])[0-9a-f]{%d,}" % rule.least)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    found = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("body"))
-    empty = F.array().cast("array<struct<start:bigint,rule:int,end:bigint,body:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["piece"])
-        end = start + F.char_length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(order).alias("rule"), end.alias("end"), F.char_length(x["body"]).alias("body")))).alias("out"))
-
-    folded = F.aggregate(F.filter(found, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.filter(folded, lambda x: x["body"] >= rule.least)
-
-
-def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES, keep: list[str] | None = None) -> DataFrame:
-    """The documents with ``secrets``: array of (start, rule, end, body) sorted by start and rule."""
-    keep = keep or ["doc_id"]
-    texts = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "doc_id"])], F.coalesce("text", F.lit("")).alias("_text"))
-    texts = texts.withColumn("_key", F.xxhash64("doc_id", "_text"))
-    found = materialize(candidates(texts.select(F.col("_key").alias("key"), F.col("_text").alias("text")), rules), "candidates")
-    joined = texts.join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    text, parts = F.col("_text"), []
-    none = F.array().cast("array<struct<start:bigint,rule:int,end:bigint,body:int>>")
+    found = F.filter(matches(text, pattern, rule.group), lambda x: x["body"] >= rule.least)
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("rule"), x["end"].alias("end")))
+
+
+def scanned(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(doc, text, secrets): each row of docs as a struct, its text, and its (start, rule, end) sorted by start and rule."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    joined = rows.join(few_rows(candidates(rows.select("key", "text"), rules)), "key", "left")
+    parts, none = [], F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")
     for r, rule in enumerate(rules):
         if trigram_query(rule.pattern) is None:
-            gate = F.rlike(text, F.lit("[0-9a-f]{%d}" % rule.least)) if rule.kind == "hex" else F.lit(True)
+            gate = F.rlike("text", F.lit("[0-9a-f]{%d}" % rule.least)) if rule.kind == "hex" else F.lit(True)
         else:
             gate = F.coalesce(F.expr(f"mask & {1 << r} <> 0"), F.lit(False))
-        parts.append(F.when(gate, _spans(text, rule, r)).otherwise(none))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "_text", F.array_sort(F.flatten(F.array(*parts))).alias("secrets"))
+        parts.append(F.when(gate, _spans(F.col("text"), rule, r)).otherwise(none))
+    return joined.select("doc", "text", F.array_sort(F.flatten(F.array(*parts))).alias("secrets"))
+
+
+def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(doc_id, secrets) of every row."""
+    return scanned(docs.select("doc_id", "text"), rules).select("doc.doc_id", "secrets")
 
 
 def _listed(spans: Column, rules: list[Rule]) -> Column:
@@ -187,25 +199,18 @@ def _listed(spans: Column, rules: list[Rule]) -> Column:
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """Documents with every secret replaced by ``mark``; all columns kept, n_chars adjusted."""
-    scanned = scan_secrets(docs, keep=docs.columns)
-    text = F.col("_text")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.when(x["start"] > acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).when(x["start"] == acc["at"], F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
-
-    tail = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
-    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, tail)).otherwise(F.col("text"))
-    columns = {"text": clean, "n_chars": F.when(F.size("secrets") > 0, F.char_length(clean).cast("bigint")).otherwise(F.col("n_chars"))}
-    return scanned.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+    clean = scanned(docs).withColumn("clean", F.when(F.size("secrets") > 0, replaced(F.col("text"), F.col("secrets"), mark)))
+    new = {"text": F.coalesce("clean", "doc.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.char_length("clean").cast(docs.schema["n_chars"].dataType), "doc.n_chars")
+    return clean.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scan_secrets(docs)
-    base = F.filter("secrets", lambda x: x["rule"] < len(BASE_RULES))
+    base = F.filter("secrets", lambda x: x["rule"] < len(BASE_RULES))  # rules in order, the base ones first
     count = lambda i: F.size(F.filter("secrets", lambda x: x["rule"] == i)).cast("bigint")
     counts = [count(i).alias(f"n_{rule.kind}") for i, rule in enumerate(BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(_listed(base, RULES), 256).alias("base_sha256"), _listed(F.col("secrets"), RULES).alias("spans"))

@@ -103,10 +103,11 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-#: Rows up to which a table of one 64-bit column may be broadcast: 8 MB of ids.
-BROADCAST_IDS = 1_000_000
+#: Rows up to which a table of one or two 64-bit columns may be broadcast: 16 MB of them.
+BROADCAST_ROWS = 1_000_000
 
 
-def few_ids(ids: DataFrame) -> DataFrame:
-    """A materialized table of one 64-bit column, with a broadcast hint if it has at most ``BROADCAST_IDS`` rows."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def few_rows(df: DataFrame) -> DataFrame:
+    """A materialized table, with a broadcast hint if it has one or two 64-bit columns and at most ``BROADCAST_ROWS`` rows."""
+    narrow = len(df.columns) <= 2 and all(kind == "bigint" for _, kind in df.dtypes)
+    return F.broadcast(df) if narrow and df.count() <= BROADCAST_ROWS else df
