@@ -84,8 +84,18 @@ def test_substring_dedup(docs, empty):
                 cut[s : s + 20] = [True] * 20
             seen.add(key)
         expected[i] = (len(w), sum(cut), hashlib.sha256(b" ".join(x for x, c in zip(w, cut) if not c)).hexdigest())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.cut_duplicates(docs).collect()}
-    assert got == expected
+    rows = substring_dedup.cut_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == expected
+    words = {i: (t or "").encode().split() for i, t in TEXTS.items()}
+    for r in rows:
+        ends = [0, *(f.start + f.length for f in r.factors)]
+        # factors follow each other, and their words stand at an earlier source
+        assert all(f.start >= e for f, e in zip(r.factors, ends)) and sum(f.length for f in r.factors) == r.n_removed
+        for f in r.factors:
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.source_doc][f.source_start : f.source_start + f.length]
+            assert (f.source_doc, f.source_start) < (r.doc_id, f.start)
+    whole = next(r for r in rows if r.doc_id == 6)
+    assert [tuple(f) for f in whole.factors] == [(0, 120, 5, 0)]
     assert substring_dedup.cut_duplicates(empty).isEmpty()
 
 
