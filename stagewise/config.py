@@ -39,6 +39,10 @@ class StageConfig:
         """Batch rows and step size of one worker."""
         return self.batch_size // self.num_workers + (worker < self.batch_size % self.num_workers), self.alpha / self.num_workers
 
+    def padded_share(self) -> tuple[int, float]:
+        """The same for any worker where all shares are rounded up."""
+        return (self.batch_size - 1) // self.num_workers + 1, self.alpha / self.num_workers
+
 
 def parse_stages(batch_sizes: str, iters: str, alphas: str, workers: str) -> list[StageConfig]:
     """Stages from comma-separated lists of equal length."""

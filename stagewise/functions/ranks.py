@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a bucket that one window call ranks.
-BUCKET_ROWS = 50_000
+#: Rows of a bucket that one window call ranks, and most buckets, which bounds the table of their starts.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 4096
 
 
-def with_position(df: DataFrame, key: str, name: str = "pos", by: tuple[str, ...] = ()) -> DataFrame:
-    """Numbers from 0 in the order of an integer ``key``, within ``by``.
+def _quantile_ranges(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """``name``: number of the range of ``key`` with about as many rows as the others, whatever the keys' spread."""
+    buckets = min(MOST_BUCKETS, n // BUCKET_ROWS)
+    if buckets < 2:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    value = F.col(key).cast("double").alias(key)
+    cuts = df.select(value).approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=f"{name}_key", outputCol=f"{name}_cut", handleInvalid="keep")
+    out = cut.transform(df.withColumn(f"{name}_key", F.col(key).cast("double")))
+    return out.withColumn(name, F.col(f"{name}_cut").cast("bigint")).drop(f"{name}_key", f"{name}_cut")
+
 
-    Keys are cut into equal ranges; a window ranks each range, and the sums of
-    the counts of earlier ranges, a small table, are added.
+def with_position(df: DataFrame, key: str, name: str = "pos", by: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
+    """Numbers from 0 in the order of a numeric ``key``, then ``tie``, within ``by``.
+
+    Keys are cut at approximate quantiles; a window ranks each range, and the
+    sums of the counts of earlier ranges are added, a table of at most
+    ``MOST_BUCKETS`` rows for each value of ``by``. Rows of one key lie in one range.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not n:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    buckets = max(1, n // BUCKET_ROWS)
-    width = (high - low) // buckets + 1
-    cut = df.withColumn("_range", F.floor((F.col(key) - F.lit(low)) / F.lit(width)))
+    cut = _quantile_ranges(df, key, df.count(), "_range")
     counts = cut.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("_before", before).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)) - 1
-    return cut.withColumn("_place", place).join(F.broadcast(starts), [*by, "_range"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_range", "_place", "_before")
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key, *tie)) - 1
+    ranked = cut.withColumn("_place", place)
+    joined = ranked.join(starts if by else F.broadcast(starts), [*by, "_range"])
+    return joined.withColumn(name, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_range", "_place", "_before")
 
 
 def seeded(seed: int, *keys: str) -> Column:
     """A number in [0, 1) that depends on keys and seed alone, not on partitions."""
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def lattice(seed: int, key: str, size: int = 9973) -> Column:
+    """A number in [0, 1) from integer arithmetic alone, so that SQL can draw it too; ``LATTICE`` is its text."""
+    return F.expr(LATTICE.format(key=key, seed=seed, size=size))
+
+
+LATTICE = "cast(((({key} % 1000003) * 7919 + {seed}) * 104729 + {seed} * 31) % {size} as double) / {size}"

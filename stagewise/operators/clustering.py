@@ -18,14 +18,21 @@ def squared_distance(x: Column, y: Column) -> Column:
 
 def nearest(x: Column, centers: list[list[float]]) -> Column:
     """struct<d, k> of the nearest center; of equal distances (9 digits) the first."""
-    found = [F.struct(F.round(squared_distance(x, F.array(*[F.lit(float(v)) for v in c])), 9).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centers)]
-    return F.least(*found) if len(found) > 1 else found[0]
+    # one constant array of arrays, so that the compiled code does not grow with k x dimensions
+    table = F.array(*[F.lit(np.asarray(c, dtype=np.float64)) for c in centers])
+    return F.array_min(F.transform(table, lambda c, k: F.struct(F.round(squared_distance(x, c), 9).alias("d"), k.alias("k"))))
 
 
 def first_centers(points: DataFrame, k: int) -> list[list[float]]:
     return [r.x for r in points.orderBy("vec_id").limit(k).collect()]
 
 
+def random_ids(points: DataFrame, k: int, draw: Column) -> list[int]:
+    """Ids of k distinct points in the order of ``draw``, then of id; of equal points the first id counts."""
+    one = points.groupBy("x").agg(F.min("vec_id").alias("vec_id"))
+    return [r.vec_id for r in one.orderBy(draw, "vec_id").limit(k).collect()]
+
+
 def random_centers(points: DataFrame, k: int, seed: int) -> list[list[float]]:
     """k distinct points by a seeded order."""
     return [r.x for r in points.dropDuplicates(["x"]).orderBy(seeded(seed, "vec_id")).limit(k).collect()]

@@ -8,17 +8,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 50_000
+#: Rows of a bucket of the order at least, and most buckets, which bounds the table of their totals.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 4096
 
 
 def running(df: DataFrame, order: str, how: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """Running sums or maxima in the order of a gapless ``order`` column.
 
     how: new column -> ("sum" | "max", expression). Each bucket of the order has
-    its own window; the totals of earlier buckets come from a small table.
+    its own window; the totals of earlier buckets come from a table of at most
+    ``MOST_BUCKETS`` rows.
     """
     combine = {"sum": F.sum, "max": F.max}
-    cut = df.withColumn("_bucket", F.floor(F.col(order) / BUCKET_ROWS))
+    most = df.agg(F.max(order)).first()[0] or 0
+    cut = df.withColumn("_bucket", F.floor(F.col(order) / max(BUCKET_ROWS, -(-(most + 1) // MOST_BUCKETS))))
     totals = cut.groupBy("_bucket").agg(*[combine[kind](value).alias(f"_t_{name}") for name, (kind, value) in how.items()])
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_bucket", *[combine[kind](f"_t_{name}").over(earlier).alias(f"_b_{name}") for name, (kind, _) in how.items()])
@@ -55,6 +58,25 @@ def bsp_rounds(log: DataFrame, workers: int) -> DataFrame:
     return running(rounds, "round", {"visible": ("sum", F.col("total"))})
 
 
+def bsp_assigned(log: DataFrame, workers: int, epochs: int = 1) -> DataFrame:
+    """(epoch, round, key, value): what the pull after a round reads of an assigned key.
+
+    Pushes of a round are one set: of several to a key the one of the largest
+    worker, then the last, stays. Clocks and rounds start anew in each epoch,
+    the values go on; epochs are equal parts of the log.
+    """
+    span = (log.agg(F.max("seq")).first()[0] or 0) // epochs + 1
+    number = F.count("*").over(Window.partitionBy("worker", "epoch").orderBy("seq")) - 1
+    pushes = log.where("push").withColumn("epoch", F.floor(F.col("seq") / span)).withColumn("round", number)
+    return pushes.groupBy("epoch", "round", F.col("k").alias("key")).agg(F.max_by("value", F.struct("worker", "seq")).alias("value"))
+
+
+def bypass_reads(log: DataFrame) -> DataFrame:
+    """(seq, k, n_seen): pulls without consistency control read all pushes of the key that came before, of any round."""
+    seen = F.sum(F.col("push").cast("bigint")).over(Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return log.withColumn("n_seen", F.coalesce(seen, F.lit(0))).where("not push").select("seq", "k", "n_seen")
+
+
 def stale_refreshes(log: DataFrame, staleness: int) -> DataFrame:
     """(worker, chunk, n_reads, n_refreshes) of caches that refetch a chunk older than ``staleness``.
 

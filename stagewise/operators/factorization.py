@@ -46,11 +46,11 @@ def als_half_step_any(ratings: DataFrame, by: str, other: str, factors: DataFram
     return sums.mapInPandas(solve, f"{by} bigint, " + ", ".join(f"{n} double" for n in names))
 
 
-def squared_error(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+def squared_error(ratings: DataFrame, users: DataFrame, items: DataFrame, rank: int = 2) -> DataFrame:
     """(n, mse, rmse) of predictions clamped to [1, 5]."""
-    u = users.select("user", F.col("f0").alias("u0"), F.col("f1").alias("u1"))
-    i = items.select("item", F.col("f0").alias("i0"), F.col("f1").alias("i1"))
-    p = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.expr("u0 * i0 + u1 * i1")))
+    u = users.select("user", *[F.col(f"f{j}").alias(f"u{j}") for j in range(rank)])
+    i = items.select("item", *[F.col(f"f{j}").alias(f"i{j}") for j in range(rank)])
+    p = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.expr(" + ".join(f"u{j} * i{j}" for j in range(rank)))))
     e = ratings.join(u, "user").join(i, "item").agg(F.count("*").alias("n"), F.avg((F.col("rating") - p) * (F.col("rating") - p)).alias("mse"))
     return e.select("n", F.round("mse", 6).alias("mse"), F.round(F.sqrt("mse"), 6).alias("rmse"))
 

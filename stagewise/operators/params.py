@@ -64,11 +64,24 @@ def to_chunks(params: DataFrame, chunk: int) -> DataFrame:
     return rows.select("chunk_id", F.col("rows.val").alias("vals"))
 
 
-def push_chunks(chunks: DataFrame, delta: DataFrame) -> DataFrame:
-    """Chunk rows with pushed rows added element by element."""
+def push_chunks(chunks: DataFrame, delta: DataFrame, assign: bool = False) -> DataFrame:
+    """Chunk rows with pushed rows added element by element, or put in their place."""
     pushed = delta.select("chunk_id", F.col("vals").alias("more"))
     joined = chunks.join(pushed, "chunk_id", "left")
-    return joined.select("chunk_id", F.when(F.col("more").isNull(), F.col("vals")).otherwise(F.zip_with("vals", "more", lambda a, b: a + F.coalesce(b, F.lit(0.0)))).alias("vals"))
+    added = F.zip_with("vals", "more", lambda a, b: a + F.coalesce(b, F.lit(0.0)))
+    return joined.select("chunk_id", F.when(F.col("more").isNull(), F.col("vals")).otherwise(F.col("more") if assign else added).alias("vals"))
+
+
+def dump(params: DataFrame, path: str, chunk: int) -> None:
+    """Keys and values in key order, files clustered by chunk so that a load of some chunks skips the others."""
+    rows = params.withColumn("chunk_id", F.floor(F.col("key") / chunk))
+    rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id", "key").write.parquet(path)
+
+
+def load(spark: SparkSession, path: str, chunks: list[int] | None = None) -> DataFrame:
+    """(key, val) of a dumped model, or of the named chunks; the filter reaches the files' statistics."""
+    rows = spark.read.parquet(path)
+    return (rows if chunks is None else rows.where(F.col("chunk_id").isin(chunks))).select("key", "val")
 
 
 def hot_cold_pull(params: DataFrame, reads: DataFrame, hot_share: int) -> DataFrame:
