@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.objectives import lr_gradient
 from ..plans.training import descend
+from ..sources.folders import shared_folder
 
 
 def train_on_stream(stream: DataFrame, d: int, alpha: float, checkpoint: str) -> tuple[list[float], int]:
@@ -35,5 +34,4 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/stagewise-checkpoints"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
