@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import seeded
 from ..functions.special import lgamma
 
 
@@ -41,49 +43,103 @@ def summary_likelihood(tokens: DataFrame, topics: int, vocabulary: int, beta: fl
     return n.agg((F.lit(base) - F.sum(lgamma(F.col("n") + vocabulary * beta)) - (topics - F.count("*")) * math.lgamma(vocabulary * beta)).alias("llh"))
 
 
-def posterior(tokens: DataFrame, topics: int, vocabulary: int, alpha: float, beta: float) -> DataFrame:
-    """(doc_id, word_id, topic, p): normalised (n_dk + a)(n_wk + b) / (n_k + V b) of the words of each document."""
-    pairs = tokens.select("doc_id", "word_id").distinct().withColumn("topic", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(topics - 1).cast("bigint"))))
-    dk = tokens.groupBy("doc_id", "topic").agg(F.count("*").alias("dk"))
-    wk = tokens.groupBy("word_id", "topic").agg(F.count("*").alias("wk"))
-    nk = tokens.groupBy("topic").agg(F.count("*").alias("nk"))
-    # the word table has at most vocabulary x topics rows
-    joined = pairs.join(dk, ["doc_id", "topic"], "left").join(F.broadcast(wk), ["word_id", "topic"], "left").join(F.broadcast(nk), "topic", "left")
-    weight = (F.coalesce("dk", F.lit(0)) + alpha) * (F.coalesce("wk", F.lit(0)) + beta) / (F.coalesce("nk", F.lit(0)) + vocabulary * beta)
-    weighted = joined.withColumn("weight", weight)
-    total = weighted.groupBy("doc_id", "word_id").agg(F.sum("weight").alias("total"))
-    return weighted.join(total, ["doc_id", "word_id"]).select("doc_id", "word_id", "topic", F.round(F.col("weight") / F.col("total"), 6).alias("p"))
+def word_topics(tokens: DataFrame, topics: int) -> DataFrame:
+    """(word_id, wk): a word's counts by topic as an array."""
+    own = [F.sum((F.col("topic") == k).cast("bigint")) for k in range(topics)]
+    return tokens.groupBy("word_id").agg(F.array(*own).alias("wk"))
 
 
-def gibbs_sweep(tokens: DataFrame, topics: int, vocabulary: int, alpha: float, beta: float, seed: int) -> DataFrame:
+def topic_totals(tokens: DataFrame, topics: int) -> list[int]:
+    found = {r.topic: r.n for r in tokens.groupBy("topic").agg(F.count("*").alias("n")).collect()}
+    return [found.get(k, 0) for k in range(topics)]
+
+
+def vocabulary_size(tokens: DataFrame) -> int:
+    return tokens.agg(F.count_distinct("word_id")).first()[0]
+
+
+def posterior(tokens: DataFrame, topics: int, alpha: float, beta: float) -> DataFrame:
+    """(doc_id, word_id, p0, p1 ..): normalised (n_dk + a)(n_wk + b) / (n_k + V b) of the words of each document.
+
+    Counts by topic are arrays, so that a word and a document each bring one row
+    to their joins, and a pair is normalised in place.
+    """
+    nk = topic_totals(tokens, topics)
+    floor = vocabulary_size(tokens) * beta
+    own = [F.sum((F.col("topic") == k).cast("bigint")) for k in range(topics)]
+    dk = tokens.groupBy("doc_id").agg(F.array(*own).alias("dk"))
+    joined = tokens.select("doc_id", "word_id").distinct().join(word_topics(tokens, topics), "word_id").join(dk, "doc_id")
+    weights = [(F.get("dk", F.lit(k)) + alpha) * (F.get("wk", F.lit(k)) + beta) / (nk[k] + floor) for k in range(topics)]
+    weighted = joined.select("doc_id", "word_id", F.array(*weights).alias("weights"))
+    share = weighted.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, w: a + w))
+    return share.select("doc_id", "word_id", *[F.round(F.get("weights", F.lit(k)) / F.col("total"), 6).alias(f"p{k}") for k in range(topics)])
+
+
+def sparse_draw(dk: np.ndarray, wk: np.ndarray, nk: np.ndarray, alpha: float, beta: float, floor: float, u: float) -> int:
+    """A topic for u in [0, 1): the posterior as smoothing, document and word buckets, the largest search last.
+
+    (n_dk + a)(n_wk + b) / (n_k + floor) is the sum of a b, n_dk b and
+    (n_dk + a) n_wk over the same denominator; the document's bucket has only
+    its own topics, and the word's only those of the word.
+    """
+    below = 1 / (nk + floor)
+    word, doc = np.flatnonzero(wk), np.flatnonzero(dk)
+    q = (dk[word] + alpha) * wk[word] * below[word]
+    r = dk[doc] * beta * below[doc]
+    s = alpha * beta * below
+    at = u * (q.sum() + r.sum() + s.sum())
+    for topics, mass in ((word, q), (doc, r)):
+        if at < mass.sum():
+            return int(topics[min(np.searchsorted(mass.cumsum(), at, side="right"), len(topics) - 1)])
+        at -= mass.sum()
+    return int(min(np.searchsorted(s.cumsum(), at, side="right"), len(s) - 1))
+
+
+def gibbs_sweep(tokens: DataFrame, topics: int, alpha: float, beta: float, seed: int) -> DataFrame:
     """Tokens with newly drawn topics; word counts are frozen for the sweep and merged after it.
 
-    The word table (vocabulary x topics) is broadcast; a document's own counts
-    follow its tokens, which stream in order.
+    A word's counts come by a join with the tokens; only the totals of topics
+    are on the driver. A document's own counts follow its tokens in order.
     """
-    table = np.zeros((vocabulary, topics))
-    for r in tokens.groupBy("word_id", "topic").agg(F.count("*").alias("n")).collect():
-        table[r.word_id, r.topic] = r.n
-    shared = tokens.sparkSession.sparkContext.broadcast(table)
+    nk = np.array(topic_totals(tokens, topics), dtype=float)
+    floor = vocabulary_size(tokens) * beta
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wk = shared.value
-        nk = wk.sum(axis=0)
-        for _, t in ((None, f) for f in frames):
+        for t in frames:
             out = []
-            for words, old, draw in zip(t["words"], t["topics"], t["draws"]):
+            for counts, old, draw in zip(t["counts"], t["topics"], t["draws"]):
                 dk, new = np.bincount(old, minlength=topics).astype(float), []
-                for w, z, u in zip(words, old, draw):
-                    dk[z] -= 1
+                for wk, z, u in zip(counts, old, draw):
                     own = np.arange(topics) == z
-                    p = ((dk + alpha) * (wk[w] - own + beta) / (nk - own + vocabulary * beta)).cumsum()
-                    z = int(np.searchsorted(p, u * p[-1]))
+                    dk[z] -= 1
+                    z = sparse_draw(dk, np.asarray(wk, dtype=float) - own, nk - own, alpha, beta, floor, u)
                     dk[z] += 1
                     new.append(z)
                 out.append(new)
             yield pd.DataFrame({"doc_id": t["doc_id"], "pos": t["pos"], "words": t["words"], "topics": out})
 
-    draw = F.pmod(F.xxhash64("doc_id", "pos", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    docs = tokens.withColumn("draw", draw).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id", "topic", "draw"))).alias("t"))
-    swept = docs.select("doc_id", F.col("t.pos").alias("pos"), F.col("t.word_id").alias("words"), F.col("t.topic").alias("topics"), F.col("t.draw").alias("draws")).mapInPandas(run, "doc_id bigint, pos array<bigint>, words array<bigint>, topics array<bigint>")
+    drawn = tokens.withColumn("draw", seeded(seed, "doc_id", "pos")).join(word_topics(tokens, topics), "word_id")
+    docs = drawn.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id", "topic", "draw", "wk"))).alias("t"))
+    swept = docs.select("doc_id", F.col("t.pos").alias("pos"), F.col("t.word_id").alias("words"), F.col("t.topic").alias("topics"), F.col("t.draw").alias("draws"), F.col("t.wk").alias("counts"))
+    swept = swept.mapInPandas(run, "doc_id bigint, pos array<bigint>, words array<bigint>, topics array<bigint>")
     return swept.select("doc_id", F.explode(F.arrays_zip("pos", "words", "topics")).alias("z")).select("doc_id", "z.pos", F.col("z.words").alias("word_id"), F.col("z.topics").alias("topic"))
+
+
+def likelihood(tokens: DataFrame, topics: int, alpha: float, beta: float) -> float:
+    """Log-likelihood of documents, words and the topic summary together."""
+    parts = (doc_likelihood(tokens, topics, alpha), word_likelihood(tokens, topics, beta), summary_likelihood(tokens, topics, vocabulary_size(tokens), beta))
+    return sum(p.first().llh for p in parts)
+
+
+def train(tokens: DataFrame, topics: int, alpha: float, beta: float, sweeps: int, stats: str, seed: int = 5) -> DataFrame:
+    """Tokens after some sweeps; each one appends (iteration, seconds, llh) to the table at ``stats``."""
+    spark = tokens.sparkSession
+    for sweep in range(sweeps):
+        began = time.perf_counter()
+        # the sweep's tokens are written, as the next one reads them many times
+        path = f"{stats}-tokens-{sweep}"
+        gibbs_sweep(tokens, topics, alpha, beta, seed + sweep).write.mode("overwrite").parquet(path)
+        tokens = spark.read.parquet(path)
+        row = (sweep, time.perf_counter() - began, likelihood(tokens, topics, alpha, beta))
+        spark.createDataFrame([row], "iteration int, seconds double, llh double").coalesce(1).write.mode("append").parquet(stats)
+    return tokens

@@ -6,15 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import parse_stages, store_update
+from ..config import StageConfig, parse_stages, store_update
+from ..functions.ranks import LATTICE, lattice, with_position
 from ..operators import clustering as km
 from ..operators import factorization as mf
 from ..operators import objectives as ob
 from ..operators import schedule as sc
 from ..operators import topics as ld
+from ..sources.folders import shared_folder
 from ..streaming.training import checkpoint_folder, stream_orders, train_on_stream
 from . import training as tr
-from .views import POINTS, RATINGS, SAMPLES_LINEITEM, SAMPLES_ORDERS, TOKENS, TOPICS, VOCABULARY, points, ratings, samples_lineitem, samples_orders, table, tokens
+from .views import POINTS, RATINGS, SAMPLES_LINEITEM, SAMPLES_ORDERS, TOKENS, TOPICS, points, ratings, samples_lineitem, samples_orders, table, tokens
 
 Q, SQL = {}, {}
 
@@ -194,16 +196,16 @@ def tr_lasso(spark, d):
     return _weights(spark, tr.descend(samples_lineitem(spark, d).cache(), _LASSO, W0, 4, lambda t: 0.2))
 
 
-@query(_steps_sql(SAMPLES_LINEITEM, ob.lr_gradient(D, False), _ZERO, [0.5 - 0.1 * t for t in range(4)], [0, 1, 2, 3]))
+@query(_steps_sql(SAMPLES_LINEITEM, ob.lr_gradient(D, False), _ZERO, [0.5 - 0.1 * t for t in range(5)], [0, 1, 2, 3, 4]))
 def tr_decay_linear(spark, d):
     """TR-7: the step size falls by a constant."""
-    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), ob.lr_gradient(D, False), _ZERO, [0, 1, 2, 3], tr.linear_decay(0.5, 0.1)))
+    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), ob.lr_gradient(D, False), _ZERO, list(range(5)), tr.linear_decay(0.5, 0.1)))
 
 
-@query(_steps_sql(SAMPLES_LINEITEM, ob.lr_gradient(D, False), _ZERO, [0.5 * 0.8**t for t in range(4)], [0, 1, 2, 3]))
+@query(_steps_sql(SAMPLES_LINEITEM, ob.lr_gradient(D, False), _ZERO, [0.5 * 0.8**t for t in range(5)], [0, 1, 2, 3, 4]))
 def tr_decay_exp(spark, d):
     """TR-7: the step size falls by a factor."""
-    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), ob.lr_gradient(D, False), _ZERO, [0, 1, 2, 3], tr.exponential_decay(0.5, 0.8)))
+    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), ob.lr_gradient(D, False), _ZERO, list(range(5)), tr.exponential_decay(0.5, 0.8)))
 
 
 @query(_steps_sql(SAMPLES_LINEITEM, _LR, _ZERO, [max(1e-5, 0.6 / (t // 2 + 1)) for t in range(5)], [0, 1, 2, 3, 4]))
@@ -244,6 +246,36 @@ def tr_grid(spark, d):
     return spark.createDataFrame(rows, "alpha double, decay int, loss double").withColumn("loss", F.round("loss", 6))
 
 
+_SIZES = (1, 2, 5)
+_BATCHED = [_steps_sql(SAMPLES_LINEITEM.replace("% 5 AS batch", f"% {b} AS batch"), _LR, _ZERO, [0.4] * b, list(range(b)), tail=f"SELECT CAST({b} AS INTEGER) AS batches, round({ob.lr_loss(D)}, 6) AS loss FROM s, m{b} GROUP BY {', '.join(_NAMES)}") for b in _SIZES]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({r})" for r in _BATCHED))
+def tr_grid_batch(spark, d):
+    """TR-16: one epoch in one, two or five batches by final loss."""
+    rows = []
+    for b in _SIZES:
+        s = samples_lineitem(spark, d, b)
+        w = tr.descend_batches(s, _LR, _ZERO, list(range(b)), lambda t: 0.4)
+        rows.append((b, float(s.agg(F.expr(ob.bind(ob.lr_loss(D), w))).first()[0])))
+    return spark.createDataFrame(rows, "batches int, loss double").withColumn("loss", F.round("loss", 6))
+
+
+_WORKERS = (1, 2, 4)
+_SHARED = [_steps_sql(SAMPLES_LINEITEM, _LR, _ZERO, [0.8 / w] * 3, tail=f"SELECT CAST({w} AS INTEGER) AS workers, CAST({(12000 - 1) // w + 1} AS INTEGER) AS batch_rows, CAST({0.8 / w} AS DOUBLE) AS alpha, round({ob.lr_loss(D)}, 6) AS loss FROM s, m3 GROUP BY {', '.join(_NAMES)}") for w in _WORKERS]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({r})" for r in _SHARED))
+def tr_grid_workers(spark, d):
+    """TR-17, 15: a worker's rows of a batch (rounded up) and step size by number of workers, and the loss with that step."""
+    s, rows = samples_lineitem(spark, d), []
+    for n in _WORKERS:
+        batch, alpha = StageConfig(12000, 3, 0.8, n).padded_share()
+        w = tr.descend(s, _LR, _ZERO, 3, lambda t, a=alpha: a)
+        rows.append((n, batch, alpha, float(s.agg(F.expr(ob.bind(ob.lr_loss(D), w))).first()[0])))
+    return spark.createDataFrame(rows, "workers int, batch_rows int, alpha double, loss double").withColumn("loss", F.round("loss", 6))
+
+
 def _fold_sql(update: dict[str, str], extra: str = "") -> str:
     names = list(update)
     return f"""WITH RECURSIVE s AS ({SAMPLES_ORDERS}), o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY pos) AS i FROM s){extra},
@@ -379,6 +411,15 @@ def km_plus_plus_d2(spark, d):
     return km.plus_plus(points(spark, d), 4).withColumn("d", F.round("d", 6))
 
 
+_DRAWN = LATTICE.format(key="vec_id", seed=3, size=9973)
+
+
+@query(f"""WITH pts AS ({POINTS}), one AS (SELECT min(vec_id) AS vec_id FROM pts GROUP BY x) SELECT CAST(row_number() OVER (ORDER BY {_DRAWN}, vec_id) - 1 AS INTEGER) AS k, vec_id FROM one ORDER BY k LIMIT {K}""")
+def km_random_init(spark, d):
+    """KM-4, 7: five distinct points in a seeded order."""
+    return spark.createDataFrame(list(enumerate(km.random_ids(points(spark, d), K, lattice(3, "vec_id")))), "k int, vec_id bigint")
+
+
 @query()
 def km_minibatch_seq(spark, d):
     """KM-8, 9: sequential steps of 16 workers, deltas of centers summed."""
@@ -437,6 +478,21 @@ def mf_rmse(spark, d):
     return mf.squared_error(r, users, items)
 
 
+@query()
+def mf_als_rank4(spark, d):
+    """MF-1, 2, 3, 4: three iterations of rank 4 and the error; any rank is solved row by row in batches."""
+    r = ratings(spark, d)
+    items = mf.start_factors(r.select("item").distinct(), "item", 4)
+    rows = []
+    for i in range(3):
+        users = mf.als_half_step_any(r, "user", "item", items, 0.01, 4)
+        items = mf.als_half_step_any(r, "item", "user", users, 0.01, 4)
+        # factors are written between iterations, so that plans don't grow
+        users, items = _kept(users), _kept(items)
+        rows.append((i, mf.squared_error(r, users, items, 4).first().mse))
+    return spark.createDataFrame(rows, "iteration int, mse double")
+
+
 @query()
 def mf_sgd_block(spark, d):
     """MF-5, 6: an epoch of stratified steps and its error."""
@@ -457,6 +513,13 @@ def mf_strata(spark, d):
 A, B = 0.1, 0.1
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows written once, as what follows reads them several times."""
+    path = shared_folder(rows.sparkSession, "tokens")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 @query(f"WITH {TOKENS} SELECT word_id, topic, count(*) AS n FROM tokens GROUP BY 1, 2 UNION ALL SELECT -1, topic, count(*) FROM tokens GROUP BY topic")
 def ld_counts(spark, d):
     """LD-1, 11: word and topic counts."""
@@ -466,19 +529,19 @@ def ld_counts(spark, d):
 @query(f"""WITH {TOKENS}, w AS (SELECT DISTINCT doc_id % 10 AS batch, word_id FROM tokens), p AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY word_id) - 1) // 20 AS slice FROM w)
   SELECT batch, slice, count(*) AS n, min(word_id) AS first, max(word_id) AS last FROM p GROUP BY 1, 2""")
 def ld_vocab_slices(spark, d):
-    """LD-2: a batch's vocabulary in slices of 20 words (a vocabulary is bounded)."""
-    words = tokens(spark, d).groupBy((F.col("doc_id") % 10).alias("batch")).agg(F.array_sort(F.collect_set("word_id")).alias("w"))
-    rows = words.select("batch", F.posexplode("w").alias("i", "word_id"))
+    """LD-2: a batch's vocabulary in slices of 20 words."""
+    words = tokens(spark, d).select((F.col("doc_id") % 10).alias("batch"), "word_id").distinct()
+    rows = with_position(words, "word_id", "i", ("batch",))
     return rows.groupBy("batch", F.floor(F.col("i") / 20).alias("slice")).agg(F.count("*").alias("n"), F.min("word_id").alias("first"), F.max("word_id").alias("last"))
 
 
 @query(f"""WITH {TOKENS}, pairs AS (SELECT DISTINCT doc_id, word_id FROM tokens), k AS (SELECT range AS topic FROM range({TOPICS})),
-  dk AS (SELECT doc_id, topic, count(*) AS dk FROM tokens GROUP BY 1, 2), wk AS (SELECT word_id, topic, count(*) AS wk FROM tokens GROUP BY 1, 2), nk AS (SELECT topic, count(*) AS nk FROM tokens GROUP BY 1),
-  w AS (SELECT doc_id, word_id, topic, CAST((coalesce(dk, 0) + {A}) AS DOUBLE) * (coalesce(wk, 0) + {B}) / (coalesce(nk, 0) + {VOCABULARY} * {B}) AS weight FROM pairs CROSS JOIN k LEFT JOIN dk USING (doc_id, topic) LEFT JOIN wk USING (word_id, topic) LEFT JOIN nk USING (topic))
-  SELECT doc_id, word_id, topic, round(weight / sum(weight) OVER (PARTITION BY doc_id, word_id), 6) AS p FROM w""")
+  dk AS (SELECT doc_id, topic, count(*) AS dk FROM tokens GROUP BY 1, 2), wk AS (SELECT word_id, topic, count(*) AS wk FROM tokens GROUP BY 1, 2), v AS (SELECT count(DISTINCT word_id) AS v FROM tokens), nk AS (SELECT topic, count(*) AS nk FROM tokens GROUP BY 1),
+  w AS (SELECT doc_id, word_id, topic, CAST((coalesce(dk, 0) + {A}) AS DOUBLE) * (coalesce(wk, 0) + {B}) / (coalesce(nk, 0) + v * {B}) AS weight FROM pairs CROSS JOIN k LEFT JOIN dk USING (doc_id, topic) LEFT JOIN wk USING (word_id, topic) LEFT JOIN nk USING (topic), v)
+  SELECT doc_id, word_id, {', '.join(f'round(max(weight) FILTER (WHERE topic = {k}) / sum(weight), 6) AS p{k}' for k in range(TOPICS))} FROM w GROUP BY doc_id, word_id""")
 def ld_posterior(spark, d):
     """LD-4: topic posterior of every word of every document."""
-    return ld.posterior(tokens(spark, d), TOPICS, VOCABULARY, A, B)
+    return ld.posterior(_kept(tokens(spark, d)), TOPICS, A, B)
 
 
 @query(f"""WITH {TOKENS}, n AS (SELECT doc_id, topic, count(*) AS n FROM tokens GROUP BY 1, 2), p AS (SELECT doc_id, sum(n) AS total, count(*) AS used, sum(lgamma(n + {A})) AS s FROM n GROUP BY 1)
@@ -495,17 +558,26 @@ def ld_word_llh(spark, d):
     return ld.word_likelihood(tokens(spark, d), TOPICS, B).select(F.round("llh", 3).alias("llh"))
 
 
-@query(f"""WITH {TOKENS}, n AS (SELECT topic, count(*) AS n FROM tokens GROUP BY 1)
-  SELECT round({TOPICS} * (lgamma({VOCABULARY} * {B}) - {VOCABULARY} * lgamma({B})) - sum(lgamma(n + {VOCABULARY} * {B})) - ({TOPICS} - count(*)) * lgamma({VOCABULARY} * {B}), 3) AS llh FROM n""")
+@query(f"""WITH {TOKENS}, v AS (SELECT count(DISTINCT word_id) AS v FROM tokens), n AS (SELECT topic, count(*) AS n FROM tokens GROUP BY 1)
+  SELECT round({TOPICS} * (lgamma(v * {B}) - v * lgamma({B})) - sum(lgamma(n + v * {B})) - ({TOPICS} - count(*)) * lgamma(v * {B}), 3) AS llh FROM n, v GROUP BY v""")
 def ld_summary_llh(spark, d):
     """LD-7."""
-    return ld.summary_likelihood(tokens(spark, d), TOPICS, VOCABULARY, B).select(F.round("llh", 3).alias("llh"))
+    t = _kept(tokens(spark, d))
+    return ld.summary_likelihood(t, TOPICS, ld.vocabulary_size(t), B).select(F.round("llh", 3).alias("llh"))
 
 
 @query()
 def ld_gibbs(spark, d):
     """LD-3, 10: counts after a Gibbs sweep."""
-    return ld.counts(ld.gibbs_sweep(tokens(spark, d), TOPICS, VOCABULARY, A, B, seed=5))
+    return ld.counts(ld.gibbs_sweep(_kept(tokens(spark, d)), TOPICS, A, B, seed=5))
+
+
+@query()
+def ld_train(spark, d):
+    """LD-3, 10, SNK-2: three sweeps, each of which appends its statistics; (iteration, llh)."""
+    stats = shared_folder(spark, "lda-stats")
+    ld.train(_kept(tokens(spark, d)), TOPICS, A, B, 3, stats)
+    return spark.read.parquet(stats).select("iteration", F.round("llh", 3).alias("llh"))
 
 
 # scheduling and π ------------------------------------------------------------------------
@@ -557,6 +629,18 @@ def kv_update_type(spark, d):
     return spark.createDataFrame([(*a, store_update(*a)) for a in asked], "kind string, consistency string, update string, result string")
 
 
+_THROW = "SELECT worker, {x} AS x, {y} AS y FROM (SELECT w.range AS worker, w.range * 1000 + p.range AS id FROM range(8) w, range(1000) p)".format(x=LATTICE.format(key="id", seed=1, size=9973), y=LATTICE.format(key="id", seed=77, size=9949))
+
+
+@query(f"SELECT CAST(0 AS INTEGER) AS key, CAST(sum(CASE WHEN x * x + y * y <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS inside, count(*) AS n, round(4 * avg(CASE WHEN x * x + y * y <= 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS pi FROM ({_THROW})")
+def mc_pi_sampled(spark, d):
+    """MC-1: a thousand seeded points of each of eight workers, summed under one key."""
+    throws = spark.range(0, 8000, 1, 8).select((F.floor(F.col("id") / 1000)).alias("worker"), lattice(1, "id").alias("x"), lattice(77, "id", 9949).alias("y"))
+    hit = (F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1).cast("bigint")
+    local = throws.groupBy("worker").agg(F.sum(hit).alias("inside"), F.count("*").alias("n"))
+    return local.groupBy(F.lit(0).alias("key")).agg(F.sum("inside").alias("inside"), F.sum("n").alias("n")).withColumn("pi", F.round(4 * F.col("inside") / F.col("n"), 6))
+
+
 @query("SELECT round(4 * avg(CASE WHEN pow((i % 1000 + 0.5) / 1000, 2) + pow((i // 1000 + 0.5) / 1000, 2) <= 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS pi FROM range(1000000) t(i)")
 def mc_pi(spark, d):
     """MC-1: π from a lattice of a million points."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.ranks import seeded, with_position
+from ..functions.ranks import LATTICE, lattice, with_position
 from ..operators import consistency as cc
 from ..operators import params as kv
 from ..sources import lines as src
+from ..sources.folders import shared_folder
 from .views import CLOCK_LOG, RATINGS, clock_log, ratings, samples_orders, table
 
 Q, SQL = {}, {}
@@ -64,6 +65,35 @@ def src_bow_parse(spark, d):
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
+@query(SQL["src_libsvm_parse"])
+def src_libsvm_file(spark, d):
+    """SRC-1, 3, 6, 10, 17: LIBSVM files written, found below a folder by a regex on their names, read and parsed."""
+    o = table(spark, d, "orders")
+    # the row's key is the third feature of the line
+    line = F.concat_ws(" ", (F.col("o_orderstatus") == "F").cast("int"), F.concat(F.lit("1:"), "o_custkey"), F.concat(F.lit("3:"), "o_orderkey"), F.concat(F.lit("5:"), F.substring("o_orderpriority", 1, 1)))
+    folder = shared_folder(spark, "libsvm")
+    o.select(line.alias("value")).write.text(f"{folder}/deep/er")
+    sample = src.read_lines(spark, folder, r"/part-[^/]*\.txt$").select(src.parse_libsvm(F.col("value")).alias("s")).select("s.y", "s.x")
+    keyed = sample.withColumn("id", F.element_at(F.filter("x", lambda p: p["fea"] == 2), 1)["val"].cast("bigint"))
+    return keyed.select("id", "y", F.explode(F.filter("x", lambda p: p["fea"] != 2)).alias("p")).select("id", "y", "p.fea", "p.val")
+
+
+@query("SELECT CAST(o_custkey AS DOUBLE) AS x0, CAST(o_orderkey AS DOUBLE) AS x1, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS y FROM orders")
+def src_tsv_file(spark, d):
+    """SRC-2, 3, 7, 12: tab-separated files written, read and parsed."""
+    folder = shared_folder(spark, "tsv")
+    table(spark, d, "orders").select(F.concat_ws("\t", "o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").cast("int")).alias("value")).write.text(folder)
+    return src.read_lines(spark, folder).select(src.parse_tsv(F.col("value"), 2).alias("s")).select(F.col("s.x")[0].alias("x0"), F.col("s.x")[1].alias("x1"), F.col("s.y").alias("y"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line, p_retailprice AS weight FROM part")
+def snk_model_text(spark, d):
+    """SNK-1, SRC-21: a model written as text, one weight a line in key order, and read by line."""
+    folder = shared_folder(spark, "model")
+    src.write_model(table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("weight")), folder)
+    return src.read_model(spark, folder)
+
+
 @query("SELECT CAST(n_nationkey AS INTEGER) AS key, CAST(n_nationkey AS DOUBLE) / 4 AS weight FROM nation")
 def src_model_text(spark, d):
     """SRC-21: a model in one line of text."""
@@ -146,14 +176,17 @@ def ds_load_balance(spark, d):
     return _parted(spark, d).groupBy((F.col("pos") % 3).alias("thread"), "part").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT o_orderkey AS id, {LATTICE.format(key="o_orderkey", seed=7, size=9973)} AS turn FROM orders) SELECT id, turn, turn = (SELECT min(turn) FROM p) AS first FROM p""")
 def ds_random_start(spark, d):
     """DS-6: a seeded random order, the same for any partitioning."""
-    return samples_orders(spark, d).select("id", seeded(7, "id").alias("turn"))
+    rows = samples_orders(spark, d).select("id", lattice(7, "id").alias("turn"))
+    return rows.withColumn("first", F.col("turn") == rows.agg(F.min("turn")).first()[0])
 
 
 # parameter store -----------------------------------------------------------
 
+_STORE = "SELECT l_partkey AS key, sum(l_quantity) AS val FROM lineitem GROUP BY 1"
+# a push query starts from the even lines and pushes the odd ones
 _PARAMS = "SELECT l_partkey AS key, sum(l_quantity) AS val FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1"
 
 
@@ -161,14 +194,18 @@ def _deltas(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_quantity").alias("val"), F.col("l_suppkey").alias("server"), F.col("l_linenumber").alias("line"))
 
 
+def _store(spark, d):
+    return _deltas(spark, d).groupBy("key").agg(F.sum("val").alias("val"))
+
+
 def _params(spark, d):
     return _deltas(spark, d).where("line % 2 = 0").groupBy("key").agg(F.sum("val").alias("val"))
 
 
-@query(f"WITH s AS ({_PARAMS}) SELECT p_partkey AS key, coalesce(val, 0) AS val FROM part LEFT JOIN s ON key = p_partkey")
+@query(f"WITH s AS ({_STORE}) SELECT p_partkey AS key, coalesce(val, 0) AS val FROM part LEFT JOIN s ON key = p_partkey")
 def kv_pull(spark, d):
     """KV-3, 6, 10: a missing key reads as 0."""
-    return kv.pull(_params(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("key")))
+    return kv.pull(_store(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("key")))
 
 
 @query("SELECT l_partkey AS key, sum(l_quantity) AS val FROM lineitem GROUP BY 1")
@@ -185,10 +222,10 @@ def kv_push_assign(spark, d):
     return kv.push_assign(_params(spark, d), new)
 
 
-@query(f"WITH s AS ({_PARAMS}) SELECT key // 100 AS chunk_id, count(*) AS n, sum(val * (key % 100)) AS checksum FROM s GROUP BY 1")
+@query(f"WITH s AS ({_STORE}) SELECT key // 100 AS chunk_id, count(*) AS n, sum(val * (key % 100)) AS checksum FROM s GROUP BY 1")
 def kv_pull_chunks(spark, d):
     """KV-8, 13: chunk rows in key order (the check sum is over key offsets)."""
-    chunks = kv.to_chunks(_params(spark, d).withColumn("val", F.col("val") * (F.col("key") % 100)), 100)
+    chunks = kv.to_chunks(_store(spark, d).withColumn("val", F.col("val") * (F.col("key") % 100)), 100)
     return chunks.select("chunk_id", F.size("vals").cast("bigint").alias("n"), F.aggregate("vals", F.lit(0.0), lambda a, v: a + v).alias("checksum"))
 
 
@@ -201,6 +238,14 @@ def kv_push_chunks(spark, d):
     return pushed.select("chunk_id", F.posexplode("vals").alias("place", "val")).select("chunk_id", F.col("place").cast("bigint").alias("place"), "val")
 
 
+@query("""WITH s AS (SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS val FROM part), t AS (SELECT key // 100 AS chunk_id, row_number() OVER (PARTITION BY key // 100 ORDER BY key) - 1 AS place, val FROM s)
+  SELECT chunk_id, place, CASE WHEN chunk_id % 2 = 0 THEN -val ELSE val END AS val FROM t""")
+def kv_push_chunks_assign(spark, d):
+    """KV-7: whole chunk rows are replaced."""
+    chunks = kv.to_chunks(table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("val")), 100)
+    new = chunks.where("chunk_id % 2 = 0").select("chunk_id", F.transform("vals", lambda v: -v).alias("vals"))
+    pushed = kv.push_chunks(chunks, new, assign=True)
+    return pushed.select("chunk_id", F.posexplode("vals").alias("place", "val")).select("chunk_id", F.col("place").cast("bigint").alias("place"), "val")
 
 
 @query(f"""WITH log AS ({CLOCK_LOG}), c AS (SELECT k % 3 AS server, count(*) AS clock FROM log WHERE push GROUP BY 1)
@@ -344,10 +389,54 @@ def md_lfu_victims(spark, d):
 
 @query("SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS val FROM part")
 def md_dump_load(spark, d):
-    """SNK-3, 4, MD-1, 2, 10: a model dumped as chunks and loaded again."""
+    """SNK-3, 4, MD-1, 2, 10: a model dumped to storage in chunks and loaded by the next stage."""
     params = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("val"))
-    keyed = params.groupBy(F.floor(F.col("key") / 100).alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("key", "val"))).alias("rows"))
-    return keyed.select(F.explode("rows").alias("r")).select("r.key", "r.val")
+    folder = shared_folder(spark, "dump")
+    kv.dump(params, folder, 100)
+    return kv.load(spark, folder)
+
+
+@query("SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS val FROM part WHERE (p_partkey // 100) IN (SELECT DISTINCT s_suppkey % 7 FROM supplier)")
+def md_load_chunks(spark, d):
+    """MD-2, SNK-4: only the chunks asked for are read from a dumped model."""
+    folder = shared_folder(spark, "dump")
+    kv.dump(table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("val")), folder, 100)
+    asked = [r.c for r in table(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("c")).distinct().collect()]
+    return kv.load(spark, folder, asked)
+
+
+_TURN = LATTICE.format(key="chunk", seed=5, size=9973)
+
+
+@query(f"""WITH log AS ({CLOCK_LOG}), c AS (SELECT DISTINCT chunk FROM log) SELECT chunk, row_number() OVER (ORDER BY {_TURN}, chunk) <= 3 AS victim FROM c""")
+def md_random_victims(spark, d):
+    """MD-8: three chunks of a seeded draw would go."""
+    chunks = clock_log(spark, d).select("chunk").distinct()
+    drawn = [r.chunk for r in chunks.orderBy(lattice(5, "chunk"), "chunk").limit(3).collect()]
+    return chunks.withColumn("victim", F.col("chunk").isin(drawn))
+
+
+_BSP = """p AS (SELECT *, {epoch} AS epoch FROM log WHERE push), r AS (SELECT *, row_number() OVER (PARTITION BY worker, epoch ORDER BY seq) - 1 AS round FROM p)
+  SELECT epoch, round, k AS key, max_by(value, (worker, seq)) AS value FROM r GROUP BY 1, 2, 3"""
+
+
+@query(f"WITH log AS ({CLOCK_LOG}), " + _BSP.format(epoch="CAST(0 AS BIGINT)"))
+def cc_bsp_assign(spark, d):
+    """CC-2: assigned keys at the end of each round."""
+    return cc.bsp_assigned(clock_log(spark, d), 4)
+
+
+@query(f"WITH log AS ({CLOCK_LOG}), " + _BSP.format(epoch="seq // ((SELECT max(seq) FROM log) // 3 + 1)"))
+def cc_epoch_reset(spark, d):
+    """CC-6: clocks start anew in each of three epochs."""
+    return cc.bsp_assigned(clock_log(spark, d), 4, epochs=3)
+
+
+@query(f"""WITH log AS ({CLOCK_LOG}), c AS (SELECT *, coalesce(sum(CASE WHEN push THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM log)
+  SELECT seq, k, CAST(n AS BIGINT) AS n_seen FROM c WHERE NOT push""")
+def cc_bypass_reads(spark, d):
+    """CC-7: pulls without consistency control see every push before them; keys are those pushed or pulled."""
+    return cc.bypass_reads(clock_log(spark, d).withColumn("k", F.col("k")))
 
 
 # messages, scheduling -----------------------------------------------------------

@@ -12,11 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """x0 .. x2, y in {0, 1} and five batches that together are the whole table."""
+def samples_lineitem(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
+    """x0 .. x2, y in {0, 1} and batches that together are the whole table."""
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_quantity") / 50).alias("x0"), (F.col("l_discount") * 10).alias("x1"), (F.col("l_tax") * 10).alias("x2"),
-        (F.col("l_returnflag") == "R").cast("double").alias("y"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 5).alias("batch"),
+        (F.col("l_returnflag") == "R").cast("double").alias("y"), ((F.col("l_orderkey") + F.col("l_linenumber")) % batches).alias("batch"),
     )
 
 
@@ -51,30 +51,29 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
 
-VOCABULARY, TOPICS = 50, 4
+TOPICS = 4
 
 
-def tokens(spark: SparkSession, sf_dir: str, vocabulary: int = VOCABULARY, topics: int = TOPICS) -> DataFrame:
-    """(doc_id, pos, word_id, topic) of the most frequent words; the first topic is arithmetic."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("pos", "word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
-    # the vocabulary is the feature's bound: at most ``vocabulary`` rows
-    top = [r.word for r in counts.collect()]
-    ids = spark.createDataFrame(list(enumerate(top)), "word_id bigint, word string")
-    out = words.join(F.broadcast(ids), "word").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word_id")
+def tokens(spark: SparkSession, sf_dir: str, topics: int = TOPICS) -> DataFrame:
+    """(doc_id, pos, word_id, topic) of every word, ids in the words' order; the first topic is arithmetic."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("pos", "word"))
+    # six bytes of a word are a number in the order of words; ties go by the whole word
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode("word", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    ids = with_position(words.select("word").distinct().withColumn("head", head), "head", "word_id", tie=("word",)).drop("head")
+    out = words.join(ids, "word").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word_id")
     return out.withColumn("topic", (F.col("doc_id") * 31 + F.col("pos") * 17 + F.col("word_id")) % topics)
 
 
-TOKENS = f"""t0 AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS words FROM documents)),
-ids AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS word_id FROM (SELECT word, count(*) AS n FROM t0 GROUP BY word ORDER BY n DESC, word LIMIT {VOCABULARY})),
+TOKENS = f"""t0 AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS words FROM documents)),
+ids AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM t0)),
 tokens AS (SELECT doc_id, pos, word_id, (doc_id * 31 + pos * 17 + word_id) % {TOPICS} AS topic FROM t0 JOIN ids USING (word))"""
 
 
 def clock_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, worker, k, chunk, push, value): events in time order as requests of four workers."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("user_id") % 4).alias("worker"), k.alias("k"), F.floor(k / 10).alias("chunk"), (k % 2 == 0).alias("push"), "value")
-    return with_position(rows, "t", "seq").drop("t")
+    rows = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("user_id") % 4).alias("worker"), k.alias("k"), F.floor(k / 10).alias("chunk"), (k % 2 == 0).alias("push"), "value", "event_id")
+    return with_position(rows, "t", "seq", tie=("event_id",)).drop("t", "event_id")
 
 
 CLOCK_LOG = """SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, user_id % 4 AS worker, k, k // 10 AS chunk, k % 2 = 0 AS push, value

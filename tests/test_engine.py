@@ -3,16 +3,20 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stagewise.config import StageConfig, TrainConfig, parse_stages, store_update
+from stagewise.functions import ranks
 from stagewise.functions.ranks import with_position
 from stagewise.functions.special import lgamma
+from stagewise.operators import clustering as km
 from stagewise.operators import consistency as cc
 from stagewise.operators import factorization as mf
 from stagewise.operators import params as kv
 from stagewise.operators import schedule as sc
+from stagewise.operators import topics as ld
 from stagewise.plans import catalogue
 from stagewise.plans import training as tr
 from stagewise.sources import lines as src
@@ -111,7 +115,7 @@ def test_any_rank_agrees_with_closed_form(spark):
     assert all(x == pytest.approx(y) for x, y in zip(a, b))
 
 
-@pytest.mark.parametrize("name", ["src_libsvm_parse", "ds_cyclic_batch", "kv_push_assign", "rp_ranges", "cc_ssp_admit", "wk_stale_refresh", "tr_gd_lr", "tr_sgd_single", "km_assign", "mf_rmse", "ld_posterior"])
+@pytest.mark.parametrize("name", ["src_libsvm_parse", "ds_cyclic_batch", "kv_push_assign", "rp_ranges", "cc_ssp_admit", "wk_stale_refresh", "tr_gd_lr", "tr_sgd_single", "km_assign", "mf_rmse", "ld_posterior", "src_libsvm_file", "snk_model_text", "md_load_chunks", "kv_push_chunks_assign", "cc_epoch_reset", "cc_bypass_reads", "tr_grid_batch", "km_random_init"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -122,3 +126,79 @@ def test_queries_agree_with_sql(spark, name):
     rel = con.execute(catalogue.oracle_sql()[name])
     at = [[d[0] for d in rel.description].index(c) for c in columns]
     assert mine == sorted(repr(tuple(row[i] for i in at)) for row in rel.fetchall())
+
+
+def test_positions_of_skewed_keys_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 50)
+    rows = [(i % 7 if i < 900 else 10**12 + i, 999 - i) for i in range(1000)]
+    got = ranks.with_position(spark.createDataFrame(rows, "k bigint, t bigint").repartition(5), "k", "pos", tie=("t",)).collect()
+    assert [(r.k, r.t) for r in sorted(got, key=lambda r: r.pos)] == sorted(rows)
+    assert sorted(r.pos for r in got) == list(range(1000))
+
+
+def test_libsvm_last_of_repeated_indices(spark):
+    line = "1 3:1 2:5 3:2 x:1 3:7 2:6"
+    row = spark.createDataFrame([(line,)], "l string").select(src.parse_libsvm(F.col("l")).alias("s")).first().s
+    assert [(p.fea, p.val) for p in row.x] == [(1, 6.0), (2, 7.0)]
+
+
+def test_model_text_keeps_key_order(spark, tmp_path):
+    path = f"file://{tmp_path}/model"
+    src.write_model(spark.range(500).select((999 - F.col("id")).alias("key"), (F.col("id") / 4).alias("weight")).repartition(7), path)
+    got = {r.line: r.weight for r in src.read_model(spark, path).collect()}
+    assert got == {i: (499 - i) / 4 for i in range(500)}
+
+
+def test_mini_batch_means_agree_with_a_loop(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 3))
+    start = x[:4]
+    expected = start.copy()
+    for part in range(5):
+        c, v = start.copy(), np.ones(4)
+        for i in range(part, 200, 5):
+            k = int(((c - x[i]) ** 2).sum(axis=1).argmin())
+            v[k] += 1
+            c[k] -= (c[k] - x[i]) / v[k]
+        expected += c - start
+    frame = spark.createDataFrame([(i % 5, i, row.tolist()) for i, row in enumerate(x)], "part bigint, vec_id bigint, x array<double>")
+    assert np.allclose(km.mini_batch(frame, start.tolist()), expected)
+
+
+def test_stratified_sgd_agrees_with_a_loop(spark):
+    edges = [(u, i, float((3 * u + i) % 5 + 1)) for u in range(12) for i in range(9) if (u + i) % 3]
+    r = spark.createDataFrame(edges, "user bigint, item bigint, rating double")
+    u, v = ({k: np.array([((k * 37 + j * 17) % 100) / 100 for j in range(2)]) for k in range(n)} for n in (12, 9))
+    for s in range(4):
+        for w in range(4):
+            for a, b, x in sorted(e for e in edges if e[0] % 4 == w and e[1] % 4 == (w + s) % 4):
+                e = x - u[a] @ v[b]
+                u[a], v[b] = u[a] + 0.05 * e * v[b], v[b] + 0.05 * e * u[a]
+    users, items = mf.sgd_epoch(r, mf.start_factors(r.select("user").distinct(), "user", 2), mf.start_factors(r.select("item").distinct(), "item", 2), 4, 0.05)
+    assert all(np.allclose([row.f0, row.f1], u[row.user]) for row in users.collect())
+    assert all(np.allclose([row.f0, row.f1], v[row.item]) for row in items.collect())
+
+
+def test_sparse_draws_follow_the_posterior():
+    dk, wk, nk = np.array([0.0, 3, 1, 0]), np.array([2.0, 0, 4, 0]), np.array([9.0, 7, 8, 5])
+    p = (dk + 0.1) * (wk + 0.2) / (nk + 3)
+    draws = [ld.sparse_draw(dk, wk, nk, 0.1, 0.2, 3, (i + 0.5) / 20_000) for i in range(20_000)]
+    assert np.allclose(np.bincount(draws, minlength=4) / 20_000, p / p.sum(), atol=1e-3)
+
+
+def test_sweeps_keep_tokens_and_gain_likelihood(spark, tmp_path):
+    rows = [(d, i, (d % 2) * 5 + (i * i + d) % 5, (d + i) % 2) for d in range(40) for i in range(30)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, pos bigint, word_id bigint, topic bigint")
+    stats = f"file://{tmp_path}/stats"
+    after = ld.train(tokens, 2, 0.1, 0.1, 4, stats)
+    assert sorted((r.doc_id, r.pos, r.word_id) for r in after.collect()) == sorted(r[:3] for r in rows)
+    llh = [r.llh for r in spark.read.parquet(stats).orderBy("iteration").collect()]
+    assert len(llh) == 4 and llh[-1] > ld.likelihood(tokens, 2, 0.1, 0.1)
+
+
+def test_stream_of_one_file_is_one_step(spark):
+    rows = catalogue.queries()["tr_stream_sgd"](spark, SF).collect()
+    o = duckdb.sql(f"select o_totalprice / 500000 a, cast(left(o_orderpriority, 1) as double) / 5 b, cast(o_orderstatus = 'F' as double) y from '{SF}/orders.parquet'").fetchnumpy()
+    x = np.stack([o["a"], o["b"], np.ones(len(o["y"]))], axis=1)
+    expected = -0.5 * ((0.5 - o["y"]) @ x) / len(x)
+    assert np.allclose([r.weight for r in sorted(rows, key=lambda r: r.key)], expected, atol=1e-6) and {r.n for r in rows} == {len(x)}
