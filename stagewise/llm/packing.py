@@ -6,7 +6,8 @@ by hash and packed best-fit decreasing; a group's bin count is compared with
 lower bounds from dual feasible functions. Every group, at its bound or not,
 gives up the documents of its emptiest bins, of one at least; these are
 exchanged between groups and packed again, in ever fewer groups, until a last
-group packs them all.
+group packs them all. ``certified_bound`` takes the bounds over the lengths of
+all pieces, so that the number of sequences can be held against it.
 
 Edge cases: null text packs as an empty text, which is its end id alone;
 repeated rows of one doc_id are packed each (they share doc_id and piece
@@ -97,30 +98,38 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offset, np.asarray(free, dtype=np.int64)
 
 
-def bin_lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Largest bound over two families of dual feasible functions.
+def bin_lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Largest bound over two families of dual feasible functions; counts: items of each length.
 
     u_k rounds sizes to k+1 classes; the threshold family counts items above
     C - t as whole bins, keeps those of at least t and drops the smaller.
     """
     if not len(lengths):
         return 0
-    best = -(-int(lengths.sum()) // capacity)
+    counts = np.ones(len(lengths), dtype=np.int64) if counts is None else counts
+    best = -(-int((lengths * counts).sum()) // capacity)
     for k in range(1, 21):
         scaled = lengths * (k + 1)
         whole = scaled % capacity == 0
         value = np.where(whole, lengths * k, scaled // capacity * capacity)
-        best = max(best, -(-int(value.sum()) // (k * capacity)))
-    ordered = np.sort(lengths)
-    total = np.append(0, np.cumsum(ordered))
+        best = max(best, -(-int((value * counts).sum()) // (k * capacity)))
+    order = np.argsort(lengths, kind="stable")
+    ordered, items = lengths[order], np.append(0, np.cumsum(counts[order]))
+    total = np.append(0, np.cumsum(ordered * counts[order]))
     t = np.unique(ordered[ordered <= capacity // 2])
     low = np.searchsorted(ordered, t)
     high = np.searchsorted(ordered, capacity - t, side="right")
     if len(t):
-        best = max(best, int((len(ordered) - high + -(-(total[high] - total[low]) // capacity)).max()))
+        best = max(best, int((items[-1] - items[high] + -(-(total[high] - total[low]) // capacity)).max()))
     return best
 
 
+def certified_bound(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """Fewest sequences that any packing of the pieces needs, by their lengths; at most ``capacity`` rows reach the driver."""
+    sizes = pieces.groupBy("length").agg(F.count("*").alias("n")).toPandas()
+    return bin_lower_bound(sizes["length"].to_numpy(dtype=np.int64), capacity, sizes["n"].to_numpy(dtype=np.int64))
+
+
 def _pack_group(round_no: int, last: bool, capacity: int, exchange: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "doc_id", "row", "piece"], ignore_index=True)
@@ -162,12 +171,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every piece with its sequence and place; sequence ids are any distinct numbers."""
+    """Every piece with its sequence and place, and the certified bound on sequences; sequence ids are any distinct numbers."""
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
-    return pieces.join(pack(pieces, capacity), ["doc_id", "row", "piece"])
+    # ids of rows are unique, null doc_ids among them
+    placed = pack(pieces, capacity).drop("doc_id")
+    return pieces.join(placed, ["row", "piece"]).withColumn("bound", F.lit(certified_bound(pieces, capacity)).cast("bigint"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bound")
