@@ -8,7 +8,7 @@ of a document that lie in several blocks meet under its number as a sum.
 
 Edge cases: null text is a document of no ids; a file without a separator at its
 end leaves an open last document (``closed`` false); an empty block or file
-gives no rows; repeated doc_ids are counted each; null doc_ids stay null;
+gives no rows; bytes at the end of a file that make no whole id are passed over; repeated doc_ids are counted each; null doc_ids stay null;
 columns other than doc_id and text are ignored.
 """
 
@@ -86,7 +86,10 @@ def scan_separators(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, width: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("payload")[i].as_buffer(), dtype=kind)
+                raw = batch.column("payload")[i].as_buffer()
+                ids = np.frombuffer(raw, dtype=kind, count=len(raw) // width)
+                if not len(ids):
+                    continue
                 ends = np.flatnonzero(ids == end_id)
                 lengths = np.diff(np.append(-1, ends)) - 1
                 tail = len(ids) - (int(ends[-1]) + 1 if len(ends) else 0)

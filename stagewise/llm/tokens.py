@@ -1,12 +1,14 @@
 """Tokenizing whole texts with a public vocabulary file.
 
 The word tokenizer drops white space, so a text's ids are the ids of its
-space-separated chunks one after another. Each chunk is encoded once per task
+space-separated chunks one after another. Its splitting pattern is read from the
+file; a file whose steps are others is refused, as chunks could not stand alone. Each chunk is encoded once per task
 and looked up afterwards; ids of a slice of texts are gathered with numpy.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain, compress
 from operator import not_
@@ -23,8 +25,6 @@ CACHE_CHUNKS = 600_000
 #: Parts encoded in one call, which bounds the library's objects.
 ENCODE_AT_ONCE = 4096
 
-#: The vocabulary's own pre-tokenizer (a fixed value of its file).
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 #: The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -39,6 +39,18 @@ def default_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def splitting_pattern(path: str) -> regex.Pattern:
+    """The pattern of a file that keeps matches of one regex in lower-cased text, as bytes; line ends match as well."""
+    with open(path, encoding="utf-8") as file:
+        steps = json.load(file)
+    normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+    split, *rest = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    drops_space = split.get("behavior") == "Removed" and split.get("invert") and "\\s" in split.get("pattern", {}).get("Regex", "")
+    if normal != ["NFC", "Replace", "Lowercase"] or not drops_space or [x.get("type") for x in rest] != ["ByteLevel"] or rest[0].get("add_prefix_space") or steps["post_processor"]:
+        raise ValueError(f"{path}: not a lower-casing word tokenizer that drops white space")
+    return regex.compile(split["pattern"]["Regex"] + "|" + _BREAK)
+
+
 class _Runs:
     """Numbered runs of ids in one growing flat array."""
 
@@ -75,6 +87,7 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = encode_special
         self.merge = self.tokenizer.model.tokenize
+        self.split = splitting_pattern(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -110,7 +123,7 @@ class ChunkTokenizer:
                 continue
             if split:
                 # no chunk holds a line end, so that it can stand between chunks
-                parts = _PARTS.findall(_BREAK.join([c.decode("utf-8", "replace") for c in some]).lower())
+                parts = self.split.findall(_BREAK.join([c.decode("utf-8", "replace") for c in some]).lower())
                 number = self._part_numbers(parts, True)
                 breaks = np.flatnonzero(number == 0)
                 counts = np.diff(np.concatenate([[-1], breaks, [len(number)]])) - 1
