@@ -136,6 +136,14 @@ def test_separators_across_blocks(spark, tmp_path):
     assert [r.n_tokens for r in found] == [*lengths.tolist(), 2] and [r.closed for r in found] == [True] * 200 + [False]
 
 
+def test_separators_in_files_of_odd_length(spark, tmp_path):
+    (tmp_path / "part.bin").write_bytes(np.array([1, 2, 49407, 3], dtype="<u2").tobytes() + b"x")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for block in (1, 2, 4, 9):
+        found = token_counts.scan_separators(token_counts.read_token_files(spark, f"file://{tmp_path}", block=block)).orderBy("ordinal").collect()
+        assert [(r.n_tokens, r.closed) for r in found] == [(2, True), (1, False)]
+
+
 def test_lower_bound_and_best_fit():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -147,6 +155,58 @@ def test_lower_bound_and_best_fit():
     assert packing.bin_lower_bound(np.array([60, 60, 60]), 100) == 3
 
 
+def _fewest_bins(sizes, capacity):
+    """An exact optimum by depth-first search."""
+    sizes, best = sorted(sizes, reverse=True), len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for room in sorted(set(bins)):
+            if room >= sizes[i]:
+                place(i + 1, [*bins[: bins.index(room)], room - sizes[i], *bins[bins.index(room) + 1 :]])
+        place(i + 1, [*bins, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_bounds_against_an_exact_optimum(spark):
+    rng = np.random.default_rng(12)
+    for most in (30, 60, 99):
+        for _ in range(15):
+            sizes = rng.integers(1, most, 9)
+            fewest, bound = _fewest_bins(sizes.tolist(), 100), packing.bin_lower_bound(sizes, 100)
+            lengths, counts = np.unique(sizes, return_counts=True)
+            assert bound == packing.bin_lower_bound(lengths, 100, counts) and fewest - 1 <= bound <= fewest
+            assert fewest <= len(packing.best_fit_decreasing(sizes, 100)[2]) <= fewest + 1
+    pieces = spark.createDataFrame([(i, 0, 0, int(n)) for i, n in enumerate(sizes)], "doc_id bigint, row bigint, piece int, length bigint")
+    assert packing.certified_bound(pieces, 100) == bound and packing.certified_bound(pieces.where("false"), 100) == 0
+
+
+def test_packing_keeps_null_and_repeated_rows(spark):
+    rows = [(None, "one two")] * 2 + [(7, "three")] * 2 + [(8, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == [-1, -1, 7, 7, 8]
+    assert len({r.sequence_id for r in got}) == 1 and {r.bound for r in got} == {1}
+    ends = np.cumsum([r.length for r in sorted(got, key=lambda r: r.offset)])
+    assert sorted(r.offset for r in got) == [0, *ends[:-1]]
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    steps = json.load(open(tokens.default_path()))
+    steps["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(steps))
+    with pytest.raises(ValueError):
+        tokens.ChunkTokenizer(str(tmp_path / "other.json"))
+
+
 def test_packing_shares_part_filled_bins(spark):
     rng = np.random.default_rng(9)
     for lengths in (np.ones(1000, np.int64), rng.integers(1, 4, 1000)):
@@ -206,6 +266,17 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).isEmpty()
 
 
+def test_sharding_cuts_fewer_edges(spark):
+    rows = [(i, f"text {i % 40}" if i < 400 else f"alone {i}") for i in range(600)] + [(None, "text 1"), (5, None), (6, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    start = sharding.shard_documents(frame, shards=6, rounds=0)
+    moved = sharding.shard_documents(frame, shards=6)
+    before, after = (sharding.cut_edges(x.select(F.col("text_crc32").alias("digest"), "shard")) for x in (start, moved))
+    assert after < before / 2 and moved.count() == 603
+    sizes = Counter(r.shard for r in moved.collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_sharding_one_large_group(spark):
     same = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     sizes = Counter(r.shard for r in sharding.shard_documents(same, shards=7).collect())
