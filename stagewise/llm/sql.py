@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .secrets import BASE_RULES, RULES
+
 _REACH = """
 reach(node, least) AS (
   SELECT a, a FROM (SELECT a FROM links UNION SELECT b FROM links)
@@ -75,4 +77,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed,
 FROM kept LEFT JOIN factors USING (doc_id)
 """
 
-ORACLES = {"op3_embedding_dedup": OP3, "op4_ngram_jaccard": OP4, "op6_substring_dedup": OP6}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(number: int, rule) -> str:
+    pattern = _quoted(("(?i)" if rule.any_case else "") + rule.pattern)
+    return f"SELECT rid, {number} AS rule, {_quoted(rule.kind)} AS kind, {rule.least} AS least, regexp_extract_all(t, {pattern}, 0) AS w, regexp_extract_all(t, {pattern}, {rule.group}) AS b, regexp_split_to_array(t, {pattern}) AS s FROM d"
+
+
+_LISTED = "coalesce(string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, rule){}, '')"
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_matches(i, r) for i, r in enumerate(RULES))}),
+e AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0),
+spans AS (
+  SELECT rid, rule, kind, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS st, length(w[i]) AS n
+  FROM e WHERE length(b[i]) >= least
+),
+k AS (SELECT *, st + n AS en FROM spans)
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(rule) FILTER (WHERE rule = {i}) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))},
+  sha256({_LISTED.format(f" FILTER (WHERE rule < {len(BASE_RULES)})")}) AS base_sha256, {_LISTED.format("")} AS spans
+FROM d LEFT JOIN k USING (rid) GROUP BY rid
+"""
+
+ORACLES = {"op3_embedding_dedup": OP3, "op4_ngram_jaccard": OP4, "op6_substring_dedup": OP6, "op7_secret_scan": OP7}

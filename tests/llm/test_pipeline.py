@@ -83,3 +83,21 @@ def test_pipeline_stages(spark, tmp_path):
         places.sort()
         ends = np.cumsum([n for _, n in places])
         assert [o for o, _ in places] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+def test_stages_with_clashing_columns_nulls_repeats_and_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    _corpus(spark, folder)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, row_key string, key string, score double, secrets string, mask int, class string, doc string"
+    extra = (7, "k", "k", 0.5, "s", 1, "c", "d")
+    same = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, None, None, None, None, *extra)] * 2 + [(5, same, "en", "s", 1, *extra)] * 3 + [(6, "", "en", "s", 0, *extra), (7, "token: abcdef123 " * 3, "en", "s", 1, *extra)]
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, folder), stage(spark, docs.where("false"), folder)
+        assert none.isEmpty(), name
+        if name != "packing":
+            assert out.dtypes == docs.dtypes, name
+        got = sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect())
+        # of equal rows one stays in the second stage; the others keep all
+        assert got == ([-1, -1, 5, 6, 7] if name == "near_duplicates" else [-1, -1, 5, 5, 5, 6, 7]), name
