@@ -334,16 +334,10 @@ class Sets:
         left = materialize(both.mapInArrow(near, "a bigint, b bigint, na bigint, nb bigint"), "near")
         shingles = self.shingles(left.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
 
-        def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in parts:
-                sa, sb = t.column("sa"), t.column("sb")
-                common = np.array([len(np.intersect1d(sa[i].values.to_numpy(), sb[i].values.to_numpy(), assume_unique=True)) for i in range(t.num_rows)], dtype=np.int64)
-                fine = common * 100 >= (np.asarray(t.column("na")) + np.asarray(t.column("nb")) - common) * percent
-                yield t.select(["a", "b"]).filter(pa.array(fine))
-
+        # row by row in the JVM: a batch of pairs of long documents would not fit in a Python worker
         content = shingles.select("set_id", "shingles")
-        joined = left.join(content.toDF("a", "sa"), "a").join(content.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        out = materialize(joined.mapInArrow(exact, "a bigint, b bigint").distinct(), "links")
+        joined = left.join(content.toDF("a", "sa"), "a").join(content.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        out = materialize(joined.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b").distinct(), "links")
         discard(left, shingles)
         return out
 
