@@ -104,10 +104,10 @@ def phrase_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 order = np.lexsort((place, number, phrase))
                 first = np.ones(len(order), dtype=bool)
                 first[1:] = phrase[order[1:]] != phrase[order[:-1]]
-                matched = np.ones(len(order), dtype=bool)
-                matched[order[first]] = False
                 source = np.empty(len(order), dtype=np.int64)
                 source[order] = order[first][np.cumsum(first) - 1]
+                # a repeated row is no later occurrence
+                matched = (number != number[source]) | (place != place[source])
                 stands, repeated = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
                 own = np.flatnonzero(~matched)
                 stands[own], repeated[own] = repeats.mark(key[own])
