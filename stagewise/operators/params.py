@@ -97,3 +97,20 @@ def hot_cold_pull(params: DataFrame, reads: DataFrame, hot_share: int) -> DataFr
     warm = marked.where("hot_val is not null").select(*reads.columns, F.lit(True).alias("hot"), F.col("hot_val").alias("val"))
     cold = marked.where("hot_val is null").drop("hot_val").join(params, "key", "left").select(*reads.columns, F.lit(False).alias("hot"), F.coalesce("val", F.lit(0.0)).alias("val"))
     return warm.unionByName(cold)
+
+
+def bucketed(params: DataFrame, name: str, buckets: int) -> DataFrame:
+    """A store kept as a table bucketed and sorted by key: pulls and pushes of tables bucketed alike need no shuffle."""
+    params.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").mode("overwrite").saveAsTable(name)
+    return params.sparkSession.table(name)
+
+
+def push_add_joined(params: DataFrame, delta: DataFrame) -> DataFrame:
+    """``push_add`` of deltas with one row a key, as a join that uses the sides' buckets."""
+    both = params.select("key", "val").join(delta.select("key", F.col("val").alias("more")), "key", "full_outer")
+    return both.select("key", (F.coalesce("val", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("val"))
+
+
+def pull_joined(params: DataFrame, keys: DataFrame) -> DataFrame:
+    """``pull`` of distinct keys, as a join that uses the sides' buckets."""
+    return keys.select("key").join(params, "key", "left").select("key", F.coalesce("val", F.lit(0.0)).alias("val"))

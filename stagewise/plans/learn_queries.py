@@ -523,7 +523,7 @@ def _kept(rows: DataFrame) -> DataFrame:
 @query(f"WITH {TOKENS} SELECT word_id, topic, count(*) AS n FROM tokens GROUP BY 1, 2 UNION ALL SELECT -1, topic, count(*) FROM tokens GROUP BY topic")
 def ld_counts(spark, d):
     """LD-1, 11: word and topic counts."""
-    return ld.counts(tokens(spark, d))
+    return ld.counts(_kept(tokens(spark, d)))
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT DISTINCT doc_id % 10 AS batch, word_id FROM tokens), p AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY word_id) - 1) // 20 AS slice FROM w)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import with_position
+from ..sources.folders import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,10 @@ def tokens(spark: SparkSession, sf_dir: str, topics: int = TOPICS) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("pos", "word"))
     # six bytes of a word are a number in the order of words; ties go by the whole word
     head = F.conv(F.rpad(F.hex(F.substring(F.encode("word", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
-    ids = with_position(words.select("word").distinct().withColumn("head", head), "head", "word_id", tie=("word",)).drop("head")
+    # the vocabulary is written once, as its positions take several looks at it
+    folder = shared_folder(spark, "vocabulary")
+    words.select("word").distinct().withColumn("head", head).write.parquet(folder)
+    ids = with_position(spark.read.parquet(folder), "head", "word_id", tie=("word",)).drop("head")
     out = words.join(ids, "word").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word_id")
     return out.withColumn("topic", (F.col("doc_id") * 31 + F.col("pos") * 17 + F.col("word_id")) % topics)
 
