@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 
 def start_factors(ids: DataFrame, key: str, rank: int) -> DataFrame:
     """Deterministic first factors in [0, 1)."""
@@ -59,26 +61,31 @@ def sgd_epoch(ratings: DataFrame, users: DataFrame, items: DataFrame, blocks: in
     """One stratified epoch: in sub-step s worker w has user block w and item block (s + w) mod blocks.
 
     Blocks of a stratum share no user and no item, so their order is free. The
-    edges of a block stream in order; a worker keeps its factors only.
+    edges of a block stream in order; a worker keeps its factors only, so blocks
+    are chosen so that a block's factors fit in a task. New factors are written
+    after each sub-step, which the next one reads.
     """
+    spark = ratings.sparkSession
     for s in range(blocks):
         rows = ratings.withColumn("w", F.col("user") % blocks).where((F.col("item") % blocks) == (F.col("w") + s) % blocks)
         edges = rows.join(users.toDF("user", "u0", "u1"), "user").join(items.toDF("item", "i0", "i1"), "item")
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            u: dict[int, np.ndarray] = {}
-            v: dict[int, np.ndarray] = {}
-            for t in frames:
-                for r in t.itertuples(index=False):
-                    a, b = u.setdefault(r.user, np.array([r.u0, r.u1])), v.setdefault(r.item, np.array([r.i0, r.i1]))
-                    e = r.rating - a @ b
-                    u[r.user], v[r.item] = a + eta * e * b, b + eta * e * a
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            u: dict[int, tuple[float, float]] = {}
+            v: dict[int, tuple[float, float]] = {}
+            for t in batches:
+                for user, item, rating, u0, u1, i0, i1 in zip(*(t[c].tolist() for c in ("user", "item", "rating", "u0", "u1", "i0", "i1"))):
+                    (a0, a1), (b0, b1) = u.get(user, (u0, u1)), v.get(item, (i0, i1))
+                    e = eta * (rating - a0 * b0 - a1 * b1)
+                    u[user], v[item] = (a0 + e * b0, a1 + e * b1), (b0 + e * a0, b1 + e * a1)
             for kind, d in (("u", u), ("i", v)):
                 if d:
                     f = np.array(list(d.values()))
                     yield pd.DataFrame({"kind": kind, "id": list(d), "f0": f[:, 0], "f1": f[:, 1]})
 
-        new = edges.repartition("w").sortWithinPartitions("w", "user", "item").mapInPandas(run, "kind string, id bigint, f0 double, f1 double").cache()
+        path = shared_folder(spark, "factors")
+        edges.repartition("w").sortWithinPartitions("w", "user", "item").mapInPandas(run, "kind string, id bigint, f0 double, f1 double").write.partitionBy("kind").parquet(path)
+        new = spark.read.schema("id bigint, f0 double, f1 double, kind string").parquet(path)
         merge = lambda old, key, kind: old.join(new.where(F.col("kind") == kind).select(F.col("id").alias(key), F.col("f0").alias("n0"), F.col("f1").alias("n1")), key, "left").select(key, F.coalesce("n0", "f0").alias("f0"), F.coalesce("n1", "f1").alias("f1"))
         users, items = merge(users, "user", "u"), merge(items, "item", "i")
     return users, items

@@ -169,16 +169,23 @@ def ob_ensemble_vote(spark, d):
 _ZERO = [0.0] * 4
 
 
+def _by_batch(rows: DataFrame) -> DataFrame:
+    """The samples laid out in one folder a batch, so that a step reads its own batch alone."""
+    folder = shared_folder(rows.sparkSession, "batches")
+    rows.write.partitionBy("batch").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 @query(_steps_sql(SAMPLES_LINEITEM, _LR, _ZERO, [0.5] * 5))
 def tr_gd_lr(spark, d):
     """TR-10, 11, WK-1, 3, 6, SNK-1: full-gradient logistic regression."""
-    return _weights(spark, tr.descend(samples_lineitem(spark, d).cache(), _LR, _ZERO, 5, lambda t: 0.5))
+    return _weights(spark, tr.descend(samples_lineitem(spark, d), _LR, _ZERO, 5, lambda t: 0.5))
 
 
 @query(_steps_sql(SAMPLES_LINEITEM, ob.lr_gradient(D, False), _ZERO, [0.5] * 5, [0, 1, 2, 3, 4]))
 def tr_minibatch_frozen(spark, d):
     """TR-3: weights frozen in a batch, no intercept; five batches are the table."""
-    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), ob.lr_gradient(D, False), _ZERO, list(range(5)), lambda t: 0.5))
+    return _weights(spark, tr.descend_batches(_by_batch(samples_lineitem(spark, d)), ob.lr_gradient(D, False), _ZERO, list(range(5)), lambda t: 0.5))
 
 
 _DENSE = [f"-(avg(case when y * (w0 * x0 + w1 * x1 + w2 * x2) < 1 then 2 * y * x{k} else cast(0 as double) end) - w{k} * avg(case when x{k} <> 0 then cast(1 as double) else cast(0 as double) end))" for k in range(D)] + ["cast(0 as double)"]
@@ -187,31 +194,31 @@ _DENSE = [f"-(avg(case when y * (w0 * x0 + w1 * x1 + w2 * x2) < 1 then 2 * y * x
 @query(_steps_sql(_SIGNED, _DENSE, _ZERO, [0.3] * 5, [0, 1, 2, 3, 4]))
 def tr_svm_dense(spark, d):
     """TR-5: mini-batch support vector steps that shrink the features present."""
-    return _weights(spark, tr.descend_batches(_signed(spark, d).cache(), _DENSE, _ZERO, list(range(5)), lambda t: 0.3))
+    return _weights(spark, tr.descend_batches(_by_batch(_signed(spark, d)), _DENSE, _ZERO, list(range(5)), lambda t: 0.3))
 
 
 @query(_steps_sql(SAMPLES_LINEITEM, _LASSO, W0, [0.2] * 4))
 def tr_lasso(spark, d):
     """TR-6 with OB-3."""
-    return _weights(spark, tr.descend(samples_lineitem(spark, d).cache(), _LASSO, W0, 4, lambda t: 0.2))
+    return _weights(spark, tr.descend(samples_lineitem(spark, d), _LASSO, W0, 4, lambda t: 0.2))
 
 
 @query(_steps_sql(SAMPLES_LINEITEM, ob.lr_gradient(D, False), _ZERO, [0.5 - 0.1 * t for t in range(5)], [0, 1, 2, 3, 4]))
 def tr_decay_linear(spark, d):
     """TR-7: the step size falls by a constant."""
-    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), ob.lr_gradient(D, False), _ZERO, list(range(5)), tr.linear_decay(0.5, 0.1)))
+    return _weights(spark, tr.descend_batches(_by_batch(samples_lineitem(spark, d)), ob.lr_gradient(D, False), _ZERO, list(range(5)), tr.linear_decay(0.5, 0.1)))
 
 
 @query(_steps_sql(SAMPLES_LINEITEM, ob.lr_gradient(D, False), _ZERO, [0.5 * 0.8**t for t in range(5)], [0, 1, 2, 3, 4]))
 def tr_decay_exp(spark, d):
     """TR-7: the step size falls by a factor."""
-    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), ob.lr_gradient(D, False), _ZERO, list(range(5)), tr.exponential_decay(0.5, 0.8)))
+    return _weights(spark, tr.descend_batches(_by_batch(samples_lineitem(spark, d)), ob.lr_gradient(D, False), _ZERO, list(range(5)), tr.exponential_decay(0.5, 0.8)))
 
 
 @query(_steps_sql(SAMPLES_LINEITEM, _LR, _ZERO, [max(1e-5, 0.6 / (t // 2 + 1)) for t in range(5)], [0, 1, 2, 3, 4]))
 def tr_optimizer_decay(spark, d):
     """TR-6, 9: inverse decay of the generic optimizer."""
-    return _weights(spark, tr.descend_batches(samples_lineitem(spark, d).cache(), _LR, _ZERO, list(range(5)), tr.inverse_decay(0.6, 2)))
+    return _weights(spark, tr.descend_batches(_by_batch(samples_lineitem(spark, d)), _LR, _ZERO, list(range(5)), tr.inverse_decay(0.6, 2)))
 
 
 _STAGES = parse_stages("12000,12000", "3,2", "0.8,0.4", "2,4")
@@ -224,7 +231,7 @@ def tr_stages(spark, d):
 
     W workers with a W-th of batch and step size each add up to the stage's step.
     """
-    s, w, t = samples_lineitem(spark, d).cache(), _ZERO, 0
+    s, w, t = _by_batch(samples_lineitem(spark, d)), _ZERO, 0
     for stage in _STAGES:
         w = tr.descend_batches(s, _LR, w, list(range(t, t + stage.num_iters)), lambda _, a=stage.alpha: a)
         t += stage.num_iters
@@ -238,7 +245,7 @@ _RUNS = [_steps_sql(SAMPLES_LINEITEM, _LR, _ZERO, [tr.inverse_decay(a, c)(t) for
 @query(" UNION ALL ".join(f"SELECT * FROM ({r})" for r in _RUNS))
 def tr_grid(spark, d):
     """TR-16: step size and decay by final loss."""
-    s = samples_lineitem(spark, d).cache()
+    s = samples_lineitem(spark, d)
     rows = []
     for a, c in _GRID:
         w = tr.descend(s, _LR, _ZERO, 3, tr.inverse_decay(a, c))
@@ -255,7 +262,7 @@ def tr_grid_batch(spark, d):
     """TR-16: one epoch in one, two or five batches by final loss."""
     rows = []
     for b in _SIZES:
-        s = samples_lineitem(spark, d, b)
+        s = _by_batch(samples_lineitem(spark, d, b))
         w = tr.descend_batches(s, _LR, _ZERO, list(range(b)), lambda t: 0.4)
         rows.append((b, float(s.agg(F.expr(ob.bind(ob.lr_loss(D), w))).first()[0])))
     return spark.createDataFrame(rows, "batches int, loss double").withColumn("loss", F.round("loss", 6))
@@ -392,7 +399,7 @@ def km_wssse(spark, d):
 @query(f"WITH {_C0}, {', '.join(_assign_sql(n) + ', ' + _center_sql(n) for n in range(3))} SELECT CAST(k AS INTEGER) AS k, i, round(v, 5) + 0.0 AS v FROM (SELECT k, unnest(x) AS v, unnest(range(len(x))) AS i FROM c3)")
 def km_lloyd3(spark, d):
     """KM-9: three full steps."""
-    centers = km.lloyd(points(spark, d).cache(), km.first_centers(points(spark, d), K), 3)
+    centers = km.lloyd(points(spark, d), km.first_centers(points(spark, d), K), 3)
     return spark.createDataFrame([(k, i, float(v)) for k, c in enumerate(centers) for i, v in enumerate(c)], "k int, i bigint, v double").select("k", "i", (F.round("v", 5) + 0.0).alias("v"))
 
 
@@ -449,7 +456,7 @@ _ALS = f"WITH r AS ({RATINGS}), i0 AS ({_F('item')}), u1 AS {_half_sql('user', '
 
 
 def _als(spark, d):
-    r = ratings(spark, d).cache()
+    r = _kept(ratings(spark, d))
     items = mf.start_factors(r.select("item").distinct(), "item", 2)
     users = mf.als_half_step(r, "user", "item", items, 0.01)
     return r, users, items
@@ -496,7 +503,7 @@ def mf_als_rank4(spark, d):
 @query()
 def mf_sgd_block(spark, d):
     """MF-5, 6: an epoch of stratified steps and its error."""
-    r = ratings(spark, d).cache()
+    r = _kept(ratings(spark, d))
     users, items = mf.sgd_epoch(r, mf.start_factors(r.select("user").distinct(), "user", 2), mf.start_factors(r.select("item").distinct(), "item", 2), 4, 0.05)
     return mf.squared_error(r, users, items)
 
