@@ -48,9 +48,10 @@ def lloyd(points: DataFrame, centers: list[list[float]], steps: int) -> list[lis
     return centers
 
 
-def plus_plus(points: DataFrame, k: int, share: float = 0.5) -> DataFrame:
+def plus_plus(points: DataFrame, k: int, shares: list[float] | None = None) -> DataFrame:
     """(round, vec_id, d): centers by squared distance; a round takes the first point, in
-    order of (distance, vec_id), at which the cumulated distance passes ``share`` of the total.
+    order of vec_id, at which the cumulated distance passes the round's share of the total: a
+    uniform draw for k-means++, and a half where no shares are given.
     """
     from ..operators.consistency import running
     from ..functions.ranks import with_position
@@ -63,7 +64,7 @@ def plus_plus(points: DataFrame, k: int, share: float = 0.5) -> DataFrame:
         d = placed.withColumn("d", nearest(F.col("x"), [c.x for c in chosen]).getField("d"))
         total = d.agg(F.sum("d")).first()[0]
         summed = running(d.select("vec_id", "place", "x", "d"), "place", {"upto": ("sum", F.col("d"))})
-        pick = summed.where(F.col("upto") >= share * total).orderBy("place").limit(1).first()
+        pick = summed.where(F.col("upto") >= (shares[turn] if shares else 0.5) * total).orderBy("place").limit(1).first()
         chosen.append(pick)
         out.append((turn, pick.vec_id, pick.d))
     return spark.createDataFrame(out, "round int, vec_id bigint, d double")

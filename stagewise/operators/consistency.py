@@ -77,29 +77,36 @@ def bypass_reads(log: DataFrame) -> DataFrame:
     return log.withColumn("n_seen", F.coalesce(seen, F.lit(0))).where("not push").select("seq", "k", "n_seen")
 
 
-def stale_refreshes(log: DataFrame, staleness: int) -> DataFrame:
-    """(worker, chunk, n_reads, n_refreshes) of caches that refetch a chunk older than ``staleness``.
+def refreshes(log: DataFrame, by: tuple[str, str], staleness: int) -> DataFrame:
+    """(seq, both of ``by``, fetched): does a request of ``log`` (by, clock, seq) refetch what a cache holds?
 
-    A worker's clock is its number of earlier requests. Rows stream by worker and
-    chunk in order; the age of one cached chunk is the only state.
+    An entry of the cache is a value of ``by``; it is fetched when it is first
+    asked for, and when it was fetched more than ``staleness`` clocks ago. Rows
+    stream by entry in order; the age of one entry is the only state.
     """
+    one, two = by
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last, reads, fetched = None, 0, 0, 0
+        at, last = None, 0
         for frame in frames:
-            for worker, chunk, clock in zip(frame["worker"], frame["chunk"], frame["clock"]):
-                if (worker, chunk) != at:
-                    if at is not None:
-                        yield pd.DataFrame({"worker": [at[0]], "chunk": [at[1]], "n_reads": [reads], "n_refreshes": [fetched]})
-                    at, last, reads, fetched = (worker, chunk), clock, 0, 1
-                elif clock - last > staleness:
-                    last, fetched = clock, fetched + 1
-                reads += 1
-        if at is not None:
-            yield pd.DataFrame({"worker": [at[0]], "chunk": [at[1]], "n_reads": [reads], "n_refreshes": [fetched]})
-
-    ordered = log.select("worker", "chunk", "clock").repartition("worker", "chunk").sortWithinPartitions("worker", "chunk", "clock")
-    return ordered.mapInPandas(run, "worker bigint, chunk bigint, n_reads bigint, n_refreshes bigint")
+            fetched = []
+            for a, b, clock in zip(frame[one].tolist(), frame[two].tolist(), frame["clock"].tolist()):
+                new = (a, b) != at or clock - last > staleness
+                at, last = (a, b), clock if new else last
+                fetched.append(new)
+            yield frame[["seq", one, two]].assign(fetched=fetched)
+
+    ordered = log.select("seq", one, two, "clock").repartition(one, two).sortWithinPartitions(one, two, "clock", "seq")
+    return ordered.mapInPandas(run, f"seq bigint, {one} bigint, {two} bigint, fetched boolean")
+
+
+def stale_refreshes(log: DataFrame, staleness: int) -> DataFrame:
+    """(worker, chunk, n_reads, n_refreshes) of caches that refetch a chunk older than ``staleness``.
+
+    A worker's clock is its number of earlier requests.
+    """
+    events = refreshes(log, ("worker", "chunk"), staleness)
+    return events.groupBy("worker", "chunk").agg(F.count("*").alias("n_reads"), F.sum(F.col("fetched").cast("bigint")).alias("n_refreshes"))
 
 
 def lru_hits(log: DataFrame, chunks: int, capacity: int) -> DataFrame:

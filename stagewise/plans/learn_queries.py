@@ -403,12 +403,12 @@ def km_lloyd3(spark, d):
     return spark.createDataFrame([(k, i, float(v)) for k, c in enumerate(centers) for i, v in enumerate(c)], "k int, i bigint, v double").select("k", "i", (F.round("v", 5) + 0.0).alias("v"))
 
 
-def _pp_sql(rounds: int) -> str:
+def _pp_sql(rounds: int, shares: list[float] | None = None) -> str:
     parts = [f"pts AS ({POINTS})", "q0 AS (SELECT vec_id, x, CAST(0 AS DOUBLE) AS d FROM pts ORDER BY vec_id LIMIT 1)"]
     for t in range(1, rounds):
         chosen = " UNION ALL ".join(f"SELECT x FROM q{i}" for i in range(t))
         parts.append(f"d{t} AS (SELECT p.vec_id, any_value(p.x) AS x, min(round({_D2}, 9)) AS d FROM pts p, ({chosen}) c GROUP BY p.vec_id)")
-        parts.append(f"q{t} AS (SELECT vec_id, x, d FROM (SELECT *, sum(d) OVER (ORDER BY vec_id) AS upto, sum(d) OVER () AS total FROM d{t}) WHERE upto >= 0.5 * total ORDER BY vec_id LIMIT 1)")
+        parts.append(f"q{t} AS (SELECT vec_id, x, d FROM (SELECT *, sum(d) OVER (ORDER BY vec_id) AS upto, sum(d) OVER () AS total FROM d{t}) WHERE upto >= CAST({(shares[t] if shares else 0.5)!r} AS DOUBLE) * total ORDER BY vec_id LIMIT 1)")
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS round, vec_id, round(d, 6) AS d FROM q{t}" for t in range(rounds))
 
 
@@ -418,6 +418,16 @@ def km_plus_plus_d2(spark, d):
     return km.plus_plus(points(spark, d), 4).withColumn("d", F.round("d", 6))
 
 
+#: Uniform draws of the rounds, seeded.
+_SHARES = np.random.default_rng(17).random(5).tolist()
+
+
+@query(_pp_sql(5, _SHARES))
+def km_plus_plus_drawn(spark, d):
+    """KM-5, 7: centers drawn in proportion to squared distance."""
+    return km.plus_plus(points(spark, d), 5, _SHARES).withColumn("d", F.round("d", 6))
+
+
 _DRAWN = LATTICE.format(key="vec_id", seed=3, size=9973)
 
 

@@ -351,11 +351,72 @@ def wk_local_combine(spark, d):
     FROM r JOIN o ON o.worker = r.worker AND o.chunk = r.chunk AND o.i = r.i + 1)
   SELECT worker, chunk, max(i) AS n_reads, CAST(max(fetched) AS BIGINT) AS n_refreshes FROM r GROUP BY 1, 2""")
 def wk_stale_refresh(spark, d):
-    """WK-8 to 12: refetches of caches with staleness 25."""
+    """WK-9: a thread's cache of chunks, each refetched when it is older than 25 of the thread's requests."""
     log = with_position(clock_log(spark, d), "seq", "clock", ("worker",))
     return cc.stale_refreshes(log, 25)
 
 
+def _refresh_sql(name: str, source: str, one: str, two: str, staleness: int) -> str:
+    """CTEs of a request log's cache: ``name`` has each request of ``source`` (one, two, clock, seq) and whether it fetched."""
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {one}, {two} ORDER BY clock, seq) AS i FROM {source}),
+  {name} AS (SELECT {one}, {two}, seq, i, clock AS last, true AS fetched FROM {name}_o WHERE i = 1
+    UNION ALL SELECT o.{one}, o.{two}, o.seq, o.i, CASE WHEN o.clock - last > {staleness} THEN o.clock ELSE last END, o.clock - last > {staleness}
+    FROM {name} r JOIN {name}_o o ON o.{one} = r.{one} AND o.{two} = r.{two} AND o.i = r.i + 1)"""
+
+
+_WORKER_LOG = "a AS (SELECT *, worker % 2 AS process, row_number() OVER (PARTITION BY worker ORDER BY seq) - 1 AS clock FROM log)"
+_PROCESS_LOG = "p AS (SELECT seq, worker % 2 AS process, chunk, row_number() OVER (PARTITION BY worker % 2 ORDER BY seq) - 1 AS clock FROM log)"
+
+
+def _worker_clocks(spark, d):
+    return with_position(clock_log(spark, d), "seq", "clock", ("worker",))
+
+
+def _process_clocks(spark, d):
+    return with_position(clock_log(spark, d).withColumn("process", F.col("worker") % 2), "seq", "clock", ("process",))
+
+
+@query(f"""WITH RECURSIVE log AS ({CLOCK_LOG}), {_WORKER_LOG}, {_refresh_sql("r", "a", "worker", "k", 25)}
+  SELECT worker, k AS key, count(*) AS n_reads, count(*) FILTER (WHERE fetched) AS n_fetches FROM r GROUP BY 1, 2""")
+def wk_cache_keys(spark, d):
+    """WK-8: a thread's cache of keys, each refetched when it is older than 25 of the thread's requests."""
+    events = cc.refreshes(_worker_clocks(spark, d), ("worker", "k"), 25)
+    return events.groupBy("worker", F.col("k").alias("key")).agg(F.count("*").alias("n_reads"), F.sum(F.col("fetched").cast("bigint")).alias("n_fetches"))
+
+
+@query(f"""WITH RECURSIVE log AS ({CLOCK_LOG}), {_PROCESS_LOG}, {_refresh_sql("r", "p", "process", "chunk", 25)}
+  SELECT process, chunk, count(*) AS n_reads, count(*) FILTER (WHERE fetched) AS n_fetches FROM r GROUP BY 1, 2""")
+def wk_cache_process(spark, d):
+    """WK-10: a process's cache of chunks, shared by its two threads."""
+    events = cc.refreshes(_process_clocks(spark, d), ("process", "chunk"), 25)
+    return events.groupBy("process", "chunk").agg(F.count("*").alias("n_reads"), F.sum(F.col("fetched").cast("bigint")).alias("n_fetches"))
+
+
+def _two_level_sql(entry: str) -> str:
+    return f"""WITH RECURSIVE log AS ({CLOCK_LOG}), {_WORKER_LOG}, {_PROCESS_LOG}, {_refresh_sql("t", "a", "worker", entry, 10)},
+  missed AS (SELECT p.* FROM p JOIN t USING (seq) WHERE t.fetched), {_refresh_sql("q", "missed", "process", "chunk", 40)}
+  SELECT process, chunk, count(*) AS n_thread_misses, count(*) FILTER (WHERE fetched) AS n_fetches FROM q GROUP BY 1, 2"""
+
+
+def _two_level(spark, d, entry):
+    """What a thread's cache misses asks the process's cache of chunks, which refetches by its own age."""
+    missed = cc.refreshes(_worker_clocks(spark, d), ("worker", entry), 10).where("fetched").select("seq")
+    events = cc.refreshes(_process_clocks(spark, d).join(missed, "seq", "left_semi"), ("process", "chunk"), 40)
+    return events.groupBy("process", "chunk").agg(F.count("*").alias("n_thread_misses"), F.sum(F.col("fetched").cast("bigint")).alias("n_fetches"))
+
+
+@query(_two_level_sql("k"))
+def wk_cache_map_chunk(spark, d):
+    """WK-11: a thread's cache of keys over its process's cache of chunks."""
+    return _two_level(spark, d, "k")
+
+
+@query(_two_level_sql("chunk"))
+def wk_cache_chunk_chunk(spark, d):
+    """WK-12: a thread's cache of chunks over its process's cache of chunks."""
+    return _two_level(spark, d, "chunk")
+
+
 @query(f"""WITH log AS ({CLOCK_LOG}), p AS (SELECT k AS key, max(worker) + k AS val FROM log GROUP BY k), n AS (SELECT k, count(*) AS n FROM log GROUP BY k), t AS (SELECT count(*) AS t FROM log)
   SELECT n.k AS key, n.n * 90 > t.t AS hot, n.n AS n_reads, CAST(n.n * p.val AS DOUBLE) AS total FROM n JOIN p ON p.key = n.k, t""")
 def md_hot_cold_pull(spark, d):

@@ -97,6 +97,18 @@ def decode_binary(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "id bigint, y double, fea int, val double")
 
 
+def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(id, y, fea, val) of binary sample files below a path; id numbers the files in the order of their names.
+
+    A file is one record of many samples, decoded in one task; ``pattern`` is a regex on file names.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.where(F.col("path").rlike(pattern)) if pattern else files
+    # names alone reach the driver
+    names = spark.createDataFrame(list(enumerate(sorted(r.path for r in files.select("path").collect()))), "id bigint, path string")
+    return decode_binary(files.join(F.broadcast(names), "path").select("id", F.col("content").alias("record")))
+
+
 def write_model(weights: DataFrame, path: str) -> None:
     """One weight per line in key order; files in the order of their names hold ranges of keys."""
     weights.orderBy("key").select(F.col("weight").cast("string").alias("value")).write.mode("overwrite").text(path)

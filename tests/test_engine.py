@@ -1,6 +1,7 @@
 """Fixture cases of the store, ranges, protocols, sources and training."""
 
 import math
+import struct
 
 import duckdb
 import numpy as np
@@ -202,3 +203,21 @@ def test_stream_of_one_file_is_one_step(spark):
     x = np.stack([o["a"], o["b"], np.ones(len(o["y"]))], axis=1)
     expected = -0.5 * ((0.5 - o["y"]) @ x) / len(x)
     assert np.allclose([r.weight for r in sorted(rows, key=lambda r: r.key)], expected, atol=1e-6) and {r.n for r in rows} == {len(x)}
+
+
+def test_binary_files(spark, tmp_path):
+    def packed(samples):
+        return b"".join(struct.pack("<fI", y, len(x)) + b"".join(struct.pack("<if", i + 1, v) for i, v in x) for y, x in samples)
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.bin").write_bytes(packed([(1.0, [(0, 0.5), (7, 2.0)]), (0.0, [])]))
+    (tmp_path / "deep" / "b.bin").write_bytes(packed([(-1.0, [(3, 4.0)])]))
+    (tmp_path / "c.txt").write_bytes(b"no samples")
+    got = src.read_binary(spark, f"file://{tmp_path}", r"\.bin$").collect()
+    assert sorted(map(tuple, got)) == [(0, 1.0, 0, 0.5), (0, 1.0, 7, 2.0), (1, -1.0, 3, 4.0)]
+
+
+def test_two_levels_of_caches(spark):
+    log = spark.createDataFrame([(i, i % 2, 0, i // 2) for i in range(12)], "seq bigint, worker bigint, chunk bigint, clock bigint")
+    got = sorted(cc.refreshes(log, ("worker", "chunk"), 1).collect())
+    assert [r.fetched for r in got if r.worker == 0] == [True, False, True, False, True, False]
