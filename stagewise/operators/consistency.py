@@ -109,15 +109,39 @@ def stale_refreshes(log: DataFrame, staleness: int) -> DataFrame:
     return events.groupBy("worker", "chunk").agg(F.count("*").alias("n_reads"), F.sum(F.col("fetched").cast("bigint")).alias("n_refreshes"))
 
 
-def lru_hits(log: DataFrame, chunks: int, capacity: int) -> DataFrame:
-    """(chunk, n_hits, n_misses) of a least-recently-used cache of ``capacity`` chunks.
+def lru_hits(log: DataFrame, capacity: int) -> DataFrame:
+    """(chunk, n_hits, n_misses) of a least-recently-used cache of ``capacity`` chunks, whatever their number.
 
-    An access hits if fewer than ``capacity`` other chunks came since the last
-    access of its own. ``chunks`` is a small constant: one column each.
+    The order is cut into buckets. What the cache holds when a bucket begins
+    follows from the last distinct chunks of the buckets before, at most
+    ``MOST_BUCKETS`` x ``capacity`` of them; each bucket then streams in order.
     """
-    last = {f"l{c}": ("max", F.when(F.col("chunk") == c, F.col("seq"))) for c in range(chunks)}
-    out = running(log, "seq", last, inclusive=False)
-    own = F.coalesce(*[F.when(F.col("chunk") == c, F.col(f"l{c}")) for c in range(chunks)])
-    others = sum((F.coalesce(F.col(f"l{c}") > own, F.lit(False)).cast("int") for c in range(chunks)), F.lit(0))
-    hit = own.isNotNull() & (others < capacity)
-    return out.groupBy("chunk").agg(F.sum(hit.cast("bigint")).alias("n_hits"), F.sum((~hit).cast("bigint")).alias("n_misses"))
+    most = log.agg(F.max("seq")).first()[0] or 0
+    cut = log.select(F.floor(F.col("seq") / max(BUCKET_ROWS, -(-(most + 1) // MOST_BUCKETS))).alias("bucket"), "seq", "chunk")
+    latest = Window.partitionBy("bucket").orderBy(F.desc("seq"))
+    last = cut.groupBy("bucket", "chunk").agg(F.max("seq").alias("seq")).withColumn("place", F.row_number().over(latest)).where(F.col("place") <= capacity)
+    recent: dict[int, list[int]] = {}
+    for r in last.orderBy("bucket", "place").collect():
+        recent.setdefault(r.bucket, []).append(r.chunk)
+    before, held = {}, []
+    for bucket in sorted(recent):
+        before[bucket] = held
+        held = (recent[bucket] + [c for c in held if c not in recent[bucket]])[:capacity]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cache = None, {}
+        for frame in frames:
+            hits = []
+            for bucket, chunk in zip(frame["bucket"].tolist(), frame["chunk"].tolist()):
+                if bucket != at:
+                    # a dict keeps its order: the least recent chunk first
+                    at, cache = bucket, dict.fromkeys(reversed(before[bucket]))
+                hits.append(chunk in cache)
+                cache.pop(chunk, None)
+                cache[chunk] = None
+                if len(cache) > capacity:
+                    del cache[next(iter(cache))]
+            yield frame[["chunk"]].assign(hit=hits).groupby("chunk", as_index=False)["hit"].agg(n_hits="sum", n="count")
+
+    counted = cut.repartition("bucket").sortWithinPartitions("bucket", "seq").mapInPandas(run, "chunk bigint, n_hits bigint, n bigint")
+    return counted.groupBy("chunk").agg(F.sum("n_hits").alias("n_hits"), (F.sum("n") - F.sum("n_hits")).alias("n_misses"))

@@ -436,7 +436,7 @@ _OTHERS = " + ".join(f"CASE WHEN l{c} > own THEN 1 ELSE 0 END" for c in range(10
   SELECT chunk, count(*) FILTER (WHERE hit) AS n_hits, count(*) FILTER (WHERE NOT hit) AS n_misses FROM h GROUP BY 1""")
 def md_lru_recency(spark, d):
     """MD-7, 8: hits and misses of a least-recently-used cache of four chunks."""
-    return cc.lru_hits(clock_log(spark, d), 10, 4)
+    return cc.lru_hits(clock_log(spark, d), 4)
 
 
 @query(f"""WITH log AS ({CLOCK_LOG}), n AS (SELECT chunk, count(*) AS n_reads, max(seq) AS last_seq FROM log GROUP BY 1)

@@ -66,10 +66,23 @@ def test_ssp_admits_within_staleness(spark):
 
 def test_lru(spark):
     log = spark.createDataFrame(list(enumerate([0, 1, 2, 0, 1, 3, 2])), "seq bigint, chunk bigint")
-    got = {r.chunk: (r.n_hits, r.n_misses) for r in cc.lru_hits(log, 4, 3).collect()}
+    got = {r.chunk: (r.n_hits, r.n_misses) for r in cc.lru_hits(log, 3).collect()}
     assert got == {0: (1, 1), 1: (1, 1), 2: (0, 2), 3: (0, 1)}
 
 
+def test_lru_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(cc, "BUCKET_ROWS", 7)
+    rng, held, expected = np.random.default_rng(5), [], {}
+    asked = (rng.random(300) ** 2 * 40).astype(int).tolist()
+    for c in asked:
+        hit = c in held[-5:]
+        held = [x for x in held if x != c] + [c]
+        n = expected.get(c, (0, 0))
+        expected[c] = (n[0] + hit, n[1] + (not hit))
+    log = spark.createDataFrame(list(enumerate(asked)), "seq bigint, chunk bigint").repartition(3)
+    assert {r.chunk: (r.n_hits, r.n_misses) for r in cc.lru_hits(log, 5).collect()} == expected
+
+
 def test_positions_do_not_depend_on_partitions(spark):
     for n in (1, 4, 16):
         rows = with_position(spark.range(1000).repartition(n), "id", "pos")
