@@ -184,14 +184,21 @@ def _marginals(tokens: Tokens, emission: np.ndarray, transitions: np.ndarray, pa
         at = tokens.piece[: tokens.alive[t + 1]] + t
         r = backward[at + 1] * potential[at + 1]
         backward[at] = (r * tt + to) / (r * ot + oo)
-    odds = forward * backward
-    marginal = odds / (1 + odds)
     if not pairs:
-        return marginal
+        forward *= backward
+        forward /= 1 + forward
+        return forward
     right = np.flatnonzero(tokens.inner)
-    a, b = forward[right - 1], backward[right] * potential[right]
-    joint = np.stack([np.full(len(right), oo), b * ot, a * to, a * b * tt])
-    return marginal, (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2), right
+    marginal = forward * backward
+    marginal /= 1 + marginal
+    a, b = forward[right - 1], backward[right]
+    del forward, backward
+    b *= potential[right]
+    # weights of the four pairs of states, and their shares
+    whole = oo + b * ot + a * (to + b * tt)
+    a /= whole
+    counts = [oo * (1 / whole).sum(), ot * (b / whole).sum(), to * a.sum(), tt * (a * b).sum()]
+    return marginal, np.array(counts).reshape(2, 2), right
 
 
 def _document_features(tokens: Tokens, marginal: np.ndarray, docs: int) -> np.ndarray:
@@ -263,42 +270,58 @@ def train(texts: list[str | None], toxic: list[int], share: tuple[float, float]
     if y.min() == y.max():
         return CrfModel(np.zeros(BUCKETS, np.float32), np.zeros((2, 2)), np.array([-30.0, 0, 0, 0]), False)
     tokens, docs = _joined([texts[i] for i in kept]), len(y)
+    # only features that occur are numbered; ``none`` is the bucket of prefixes that a word is too short for
+    present = np.zeros(BUCKETS, dtype=bool)
+    present[0] = True
+    for row in tokens.features:
+        present[row] = True
+    ids, none = np.flatnonzero(present), 0
+    number = np.cumsum(present, dtype=np.int32) - 1
+    for row in tokens.features:
+        row[:] = number[row]
+    size = len(ids)
+    del present, number
     # token labels: features tied to toxic documents, counted once a document
     weight = np.where(y == 1, 1 / max(share[1], 1e-9), 1 / max(share[0], 1e-9))
     weight *= docs / weight.sum()
     base = float(y.mean())
-    tied = np.zeros(BUCKETS, dtype=bool)
+    tied = np.zeros(size, dtype=bool)
     for row in tokens.features:
-        pairs = np.unique(tokens.doc.astype(np.int64) * BUCKETS + row)
-        doc, feature = pairs // BUCKETS, pairs % BUCKETS
-        seen = np.bincount(feature, minlength=BUCKETS).astype(np.float64)
-        hits = np.bincount(feature, y[doc], BUCKETS)
+        pairs = np.unique(tokens.doc.astype(np.int64) * size + row)
+        doc, feature = np.divmod(pairs, size)
+        seen = np.bincount(feature, minlength=size).astype(np.float64)
+        hits = np.bincount(feature, y[doc], size)
         rest = seen - hits
         lift = ((hits + 0.5) / y.sum()) / ((rest + 0.5) / (docs - y.sum()))
         share_hit = np.clip(hits / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
         gain = 2 * (hits * np.log(share_hit / base) + rest * np.log((1 - share_hit) / (1 - base)))
         tied |= (lift >= MIN_LIFT) & (gain >= MIN_GAIN)
-    tied[0] = False
+        del pairs, doc, feature
+    tied[none] = False
     gold = np.logical_or.reduce([tied[row] for row in tokens.features]) & (y[tokens.doc] == 1)
     # maximum conditional likelihood with Adagrad steps over all chains
-    emit, trans = np.zeros(BUCKETS), np.zeros((2, 2))
-    emit_sq, trans_sq = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
-    g = gold.astype(np.float64)
+    emit, trans = np.zeros(size), np.zeros((2, 2))
+    emit_sq, trans_sq = np.full(size, 1e-6), np.full((2, 2), 1e-6)
     scale = 1.0 / max(1.0, gold.sum())
     for _ in range(steps):
-        marginal, expected, right = _marginals(tokens, _emissions(tokens, emit) + trans[0, 0], trans, pairs=True)
+        error, expected, right = _marginals(tokens, _emissions(tokens, emit) + trans[0, 0], trans, pairs=True)
         seen = np.bincount(2 * gold[right - 1] + gold[right], minlength=4).reshape(2, 2)
-        error = marginal - g
-        grad = sum(np.bincount(row, error, BUCKETS) for row in tokens.features) * scale + 1e-6 * emit
-        grad[0] = 0
+        error -= gold
+        grad = 1e-6 * emit
+        for row in tokens.features:
+            grad += np.bincount(row, error, size) * scale
+        grad[none] = 0
         emit_sq += grad**2
         emit -= 0.5 * grad / np.sqrt(emit_sq)
         grad_t = (expected - seen) * scale + 1e-4 * trans
         trans_sq += grad_t**2
         trans -= 0.2 * grad_t / np.sqrt(trans_sq)
+        del error, right
     marginal = _marginals(tokens, _emissions(tokens, emit) + trans[0, 0], trans)
     document = _logistic(_document_features(tokens, marginal, docs), y, weight)
-    return CrfModel(emit.astype(np.float32), trans, document, True)
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[ids] = emit
+    return CrfModel(weights, trans, document, True)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, dict[int, int]]:
