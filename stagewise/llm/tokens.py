@@ -2,16 +2,15 @@
 
 The word tokenizer drops white space, so a text's ids are the ids of its
 space-separated chunks one after another. Its splitting pattern is read from the
-file; a file whose steps are others is refused, as chunks could not stand alone. Each chunk is encoded once per task
-and looked up afterwards; ids of a slice of texts are gathered with numpy.
+file; a file whose steps are others is refused, as chunks could not stand alone. Each chunk is encoded once per worker
+and looked up by its hash afterwards; ids of a slice of texts are gathered with numpy.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from itertools import chain, compress
-from operator import not_
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from .text import Words
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a Python worker remembers from task to task; beyond it the cache starts anew.
 CACHE_CHUNKS = 600_000
+#: Parts of chunks that it remembers besides, which only new chunks need.
+CACHE_PARTS = 150_000
 #: Parts encoded in one call, which bounds the library's objects.
 ENCODE_AT_ONCE = 4096
 
@@ -91,9 +92,14 @@ class ChunkTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        #: Sorted hashes of known chunks, and the numbers of their runs.
+        self.known, self.number = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.chunk_ids = _Runs()
+        self._forget_parts()
+
+    def _forget_parts(self) -> None:
         self.parts: dict[str, int] = {_BREAK: 0}
-        self.chunk_ids, self.part_ids = _Runs(), _Runs()
+        self.part_ids = _Runs()
         self.part_ids.add(np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32))
 
     def _part_numbers(self, texts: list[str], split: bool) -> np.ndarray:
@@ -111,16 +117,18 @@ class ChunkTokenizer:
             parts.update(zip(some, range(len(parts), len(parts) + len(some))))
         return np.fromiter(map(parts.__getitem__, texts), dtype=np.int64, count=len(texts))
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Look up chunks by parts, so that ``word`` and ``Word,`` share work.
+    def _learn(self, chunks: list[bytes]) -> np.ndarray:
+        """Numbers of new chunks, looked up by parts, so that ``word`` and ``Word,`` share work.
 
         Below U+0100 lower-casing goes letter by letter and text is in NFC; a
         chunk with other characters, or one that may hold a special token, is one part.
         """
-        whole = [b"<|" in c or max(c) >= 0xC4 for c in chunks]
-        for some, split in ((list(compress(chunks, map(not_, whole))), True), (list(compress(chunks, whole)), False)):
-            if not some:
+        out = np.empty(len(chunks), dtype=np.int64)
+        whole = np.fromiter((b"<|" in c or max(c) >= 0xC4 for c in chunks), dtype=bool, count=len(chunks))
+        for which, split in ((np.flatnonzero(~whole), True), (np.flatnonzero(whole), False)):
+            if not len(which):
                 continue
+            some = [chunks[i] for i in which.tolist()]
             if split:
                 # no chunk holds a line end, so that it can stand between chunks
                 parts = self.split.findall(_BREAK.join([c.decode("utf-8", "replace") for c in some]).lower())
@@ -131,23 +139,29 @@ class ChunkTokenizer:
             else:
                 number, counts = self._part_numbers([c.decode("utf-8", "replace") for c in some], False), np.ones(len(some), dtype=np.int64)
             ids, ends = self.part_ids.take(number)
+            out[which] = self.chunk_ids.count + np.arange(len(which))
             self.chunk_ids.add(np.diff(ends[np.append(0, np.cumsum(counts))]), ids)
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+        return out
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice with ``end_id`` after each, and n+1 offsets."""
         if len(self.known) > CACHE_CHUNKS:
             self._forget()
-        # equal chunks of the slice are looked up once
+        if len(self.parts) > CACHE_PARTS:
+            self._forget_parts()
+        # equal chunks of the slice are looked up once, and read as bytes only if they are new
         words = Words(data, off, lower=False)
-        _, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
-        raw, known = data.tobytes(), self.known
-        chunks = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-        new = [c for c in chunks if c not in known]
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        ids, ends = self.chunk_ids.take(which[place])
+        hashes, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != hashes
+        if new.any():
+            raw, ones = data.tobytes(), first[new]
+            learned = self._learn([raw[a:b] for a, b in zip(words.start[ones].tolist(), words.end[ones].tolist())])
+            self.known, self.number = np.insert(self.known, at[new], hashes[new]), np.insert(self.number, at[new], learned)
+            at = np.searchsorted(self.known, hashes)
+        ids, ends = self.chunk_ids.take(self.number[at][place])
         before = ends[words.bounds]
         out = np.empty(len(ids) + len(off) - 1, dtype=np.int32)
         offsets = before + np.arange(len(before))
