@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import by_row, drop_rows, hash_bitmap, in_bitmap, keep_columns, materialize
-from .text import Words, slices, window_hashes
+from .text import released, slices, window_hashes, Words
 
 WIDTH = 8
 LEAST_WIDTH = 4
@@ -147,7 +147,7 @@ def template_windows(df: DataFrame, key: str, widths: list[int], plain_widths: l
                     columns = [part.column(key).take(pa.array(doc)), pa.array(np.full(len(doc), plain)), pa.array(start - bounds[doc]), pa.array(windows[doc]), pa.array(value.view(np.int64)), lists]
                     yield pa.record_batch(columns, [key, "plain", "place", "n_windows", "hash", "slots"])
 
-    return keep_columns(df, key, "text").mapInArrow(run, f"{key} bigint, plain boolean, place bigint, n_windows bigint, hash bigint, slots array<bigint>")
+    return keep_columns(df, key, "text").mapInArrow(released(run), f"{key} bigint, plain boolean, place bigint, n_windows bigint, hash bigint, slots array<bigint>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -201,7 +201,7 @@ def _short_widths(benchmark: DataFrame) -> DataFrame:
                     count = count[(count >= least) & (count < WIDTH)]
                     yield pa.record_batch([pa.array(np.full(len(count), plain)), pa.array(count)], ["plain", "w"])
 
-    return keep_columns(benchmark, "text").mapInArrow(run, "plain boolean, w bigint").distinct()
+    return keep_columns(benchmark, "text").mapInArrow(released(run), "plain boolean, w bigint").distinct()
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import discard, few_rows, free_name, hash_bitmap, in_bitmap, keep_columns, materialize, row_hash
-from .text import LocalRepeats, Words, mix, slices, window_hashes
+from .text import LocalRepeats, mix, released, slices, window_hashes, Words
 
 #: Shapes of an instance, (missing, pieces), by number of signatures; mean shingles that a signature should hold.
 SHAPES, LEAST_SHINGLES = ((0, 1), (1, 3), (2, 5), (3, 6)), 2.5
@@ -205,7 +205,7 @@ def document_sets(texts: DataFrame, width: int) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("row"), pa.array(np.diff(at)), _as_long(_set_ids(values, at)), pa.array(_sketches(values, at), pa.binary())]
                 yield pa.record_batch(columns, ["doc_id", "row", "n_shingles", "set_id", "sketch"])
 
-    return texts.mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, set_id bigint, sketch binary")
+    return texts.mapInArrow(released(run), "doc_id bigint, row bigint, n_shingles bigint, set_id bigint, sketch binary")
 
 
 class _Seen:
@@ -250,7 +250,7 @@ def signature_rows(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 columns = [np.concatenate([x, x[first]]) for x in (signature.view(np.int64), owner.view(np.int64), scheme)]
                 yield pa.record_batch([*map(pa.array, columns), pa.array(np.concatenate([salt, np.zeros(first.sum(), np.int64)]).astype(np.int16))], ["signature", "set_id", "scheme", "salt"])
 
-    return texts.select("text").mapInArrow(run, "signature bigint, set_id bigint, scheme bigint, salt smallint")
+    return texts.select("text").mapInArrow(released(run), "signature bigint, set_id bigint, scheme bigint, salt smallint")
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ class Sets:
                     yield pa.record_batch([part.column("row"), _as_long(_set_ids(values, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _as_long(values))], ["row", "set_id", "shingles"])
 
         # the bitmap leaves few strangers to the join
-        found = self.texts.select("row", "text").mapInArrow(run, "row bigint, set_id bigint, shingles array<bigint>").join(few_rows(rows), "row", "left_semi")
+        found = self.texts.select("row", "text").mapInArrow(released(run), "row bigint, set_id bigint, shingles array<bigint>").join(few_rows(rows), "row", "left_semi")
         out = materialize(found.dropDuplicates(["row"]) if self.repeated_rows else found, "shingles")
         discard(rows)
         return out
@@ -331,7 +331,7 @@ class Sets:
                     fine = apart * (100 + percent) <= (na + nb) * (100 - percent)
                     yield t.select(["a", "b", "na", "nb"]).filter(pa.array(fine))
 
-        left = materialize(both.mapInArrow(near, "a bigint, b bigint, na bigint, nb bigint"), "near")
+        left = materialize(both.mapInArrow(released(near), "a bigint, b bigint, na bigint, nb bigint"), "near")
         shingles = self.shingles(left.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
 
         # row by row in the JVM: a batch of pairs of long documents would not fit in a Python worker

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import keep_columns, materialize
-from .text import slices
+from .text import released, slices
 from .tokens import default_path, int_array, shared_tokenizer
 
 CAPACITY = 4096
@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
     # the row number is computed before anything is exploded
     rows = keep_columns(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(released(cut), PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import discard, keep_columns, materialize
-from .text import LocalRepeats, Words, mix, slices, window_hashes
+from .text import LocalRepeats, mix, released, slices, window_hashes, Words
 
 WINDOW = 20
 ANCHOR = 6
@@ -117,7 +117,7 @@ def phrase_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     ["anchor", "salt", "repeated", "matched", "phrase", "doc_id", "place", "windows", "source_doc", "source_place"],
                 )
 
-    return docs.mapInArrow(run, "anchor bigint, salt smallint, repeated boolean, matched boolean, phrase bigint, doc_id bigint, place bigint, windows int, source_doc bigint, source_place bigint")
+    return docs.mapInArrow(released(run), "anchor bigint, salt smallint, repeated boolean, matched boolean, phrase bigint, doc_id bigint, place bigint, windows int, source_doc bigint, source_place bigint")
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
                 value = window_hashes(words.hash, begin[which] + step, window)
                 yield pa.record_batch([rows.field("anchor").take(pa.array(which)), _as_long(value), part.column("doc_id").take(pa.array(doc[which])), pa.array(place[which] + step)], ["anchor", "hash", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "anchor bigint, hash bigint, doc_id bigint, place bigint")
+    return docs.mapInArrow(released(run), "anchor bigint, hash bigint, doc_id bigint, place bigint")
 
 
 def repeated_rows(rows: DataFrame, key: str) -> DataFrame:
@@ -247,7 +247,7 @@ def cut_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "factors"]
                 yield pa.record_batch(columns + [pa.array(kept_text, pa.string())] * with_text, names + ["text"] * with_text)
 
-    return joined.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, factors {FACTORS}" + ", text string" * with_text)
+    return joined.mapInArrow(released(run), f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, factors {FACTORS}" + ", text string" * with_text)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import keep_columns, materialize
-from .text import slices
+from .text import released, slices
 from .tokens import default_path, shared_tokenizer
 
 END_OF_DOCUMENT = 49407
@@ -64,7 +64,7 @@ def token_blocks(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         if names:
             yield rows([rest], [names])
 
-    return keep_columns(docs, "doc_id", "text").mapInArrow(run, "file string, block int, payload binary, names array<bigint>")
+    return keep_columns(docs, "doc_id", "text").mapInArrow(released(run), "file string, block int, payload binary, names array<bigint>")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -76,7 +76,7 @@ def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int
                 for i, start in enumerate(range(0, len(content), width * block)):
                     yield pa.record_batch([pa.array([file]), pa.array([i], pa.int32()), pa.array([content[start : start + width * block]], pa.binary())], ["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block int, payload binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(released(run), "file string, block int, payload binary")
 
 
 def scan_separators(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, width: int = 2) -> DataFrame:
@@ -99,7 +99,7 @@ def scan_separators(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, width: int
                 n = len(lengths)
                 yield pa.record_batch([batch.column("file").slice(i, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, batch.column("block")[i].as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int64)), pa.array(lengths.astype(np.int64)), pa.array(closed)], ["file", "block", "place", "tokens", "closed"])
 
-    parts = materialize(blocks.select("file", "block", "payload").mapInArrow(run, "file string, block int, place bigint, tokens bigint, closed int"), "parts")
+    parts = materialize(blocks.select("file", "block", "payload").mapInArrow(released(run), "file string, block int, place bigint, tokens bigint, closed int"), "parts")
     seps = parts.groupBy("file", "block").agg(F.sum("closed").alias("n"))
     # a file has a bounded number of blocks
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import keep_columns
-from .text import Words, _BASE_INV, _BASE, _power_table, CODES_LOWER, mix, slices, window_hashes
+from .text import _BASE, _BASE_INV, CODES_LOWER, mix, _power_table, released, slices, window_hashes, Words
 
 SAMPLE_PER_CLASS = 1500
 SAMPLE_BYTES, SAMPLE_TEXT_BYTES = 8 << 20, 1 << 18
@@ -371,7 +371,7 @@ def score_documents(docs: DataFrame, model: CrfModel) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), rows)
                 yield pa.record_batch([part.column("doc_id"), pa.array(value), lists.cast(span)], ["doc_id", "score", "spans"])
 
-    return keep_columns(docs, "doc_id", "text").mapInArrow(score, schema)
+    return keep_columns(docs, "doc_id", "text").mapInArrow(released(score), schema)
 
 
 def held_out() -> F.Column:
@@ -389,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CrfModel:
         share = tuple(min(1.0, SAMPLE_PER_CLASS / max(1, counts.get(k, 0))) if k in toxic else 1.0 for k in (0, 1))
         yield pa.record_batch([pa.array([pickle.dumps(train([t for _, _, t in rows], toxic, share))])], ["model"])
 
-    found = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(released(learn), "model binary").collect()
     return pickle.loads(found[0].model) if found else train([], [])
 
 
@@ -402,7 +402,7 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame, at: float = PREDICT_AT)
             for part, data, off in slices(batch, "text"):
                 yield part.filter(pa.array(_scored(shared.value, data, off)[0] < at))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(released(clean), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
