@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+#: Bytes of text worked on at once; the arrays of a slice take many times as much for a moment.
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
