@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,31 @@ def seeded(seed: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def seeded_values(seed: int, *keys: tuple[np.ndarray, np.ndarray | None]) -> np.ndarray:
+    """``seeded`` in Python, of long keys (values, which of them are not null, or None for all)."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(keys[0][0]), 42, np.uint64)
+        for values, known in keys:
+            one = _turned(values.astype(np.int64).view(np.uint64) * _P2, 31) * _P1
+            new = _mixed(_turned((h + _P5 + np.uint64(8)) ^ one, 27) * _P1 + _P4)
+            h = new if known is None else np.where(known, new, h)
+        h = _mixed(_turned((h + _P5 + np.uint64(4)) ^ (np.uint64(seed & 0xFFFFFFFF) * _P1), 23) * _P2 + _P3)
+    return (h & np.uint64((1 << 52) - 1)).astype(float) / float(1 << 52)
+
+
 def lattice(seed: int, key: str, size: int = 9973) -> Column:
     """A number in [0, 1) from integer arithmetic alone, so that SQL can draw it too; ``LATTICE`` is its text."""
     return F.expr(LATTICE.format(key=key, seed=seed, size=size))

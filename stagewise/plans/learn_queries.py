@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from ..config import StageConfig, parse_stages, store_update
 from ..functions.ranks import LATTICE, lattice, with_position
+from ..operators import blocks as bl
 from ..operators import clustering as km
 from ..operators import factorization as mf
 from ..operators import objectives as ob
 from ..operators import schedule as sc
 from ..operators import topics as ld
-from ..sources.folders import shared_folder
+from ..sources.folders import kept, shared_folder
 from ..streaming.training import checkpoint_folder, stream_orders, train_on_stream
 from . import training as tr
-from .views import POINTS, RATINGS, SAMPLES_LINEITEM, SAMPLES_ORDERS, TOKENS, TOPICS, points, ratings, samples_lineitem, samples_orders, table, tokens
+from .views import POINTS, RATINGS, SAMPLES_LINEITEM, SAMPLES_ORDERS, TOKENS, TOPICS, points, ratings, samples_lineitem, samples_orders, table, token_blocks
 
 Q, SQL = {}, {}
 
@@ -466,7 +467,7 @@ _ALS = f"WITH r AS ({RATINGS}), i0 AS ({_F('item')}), u1 AS {_half_sql('user', '
 
 
 def _als(spark, d):
-    r = _kept(ratings(spark, d))
+    r = kept(ratings(spark, d), "ratings")
     items = mf.start_factors(r.select("item").distinct(), "item", 2)
     users = mf.als_half_step(r, "user", "item", items, 0.01)
     return r, users, items
@@ -505,7 +506,7 @@ def mf_als_rank4(spark, d):
         users = mf.als_half_step_any(r, "user", "item", items, 0.01, 4)
         items = mf.als_half_step_any(r, "item", "user", users, 0.01, 4)
         # factors are written between iterations, so that plans don't grow
-        users, items = _kept(users), _kept(items)
+        users, items = kept(users, "users"), kept(items, "items")
         rows.append((i, mf.squared_error(r, users, items, 4).first().mse))
     return spark.createDataFrame(rows, "iteration int, mse double")
 
@@ -513,7 +514,7 @@ def mf_als_rank4(spark, d):
 @query()
 def mf_sgd_block(spark, d):
     """MF-5, 6: an epoch of stratified steps and its error."""
-    r = _kept(ratings(spark, d))
+    r = kept(ratings(spark, d), "ratings")
     users, items = mf.sgd_epoch(r, mf.start_factors(r.select("user").distinct(), "user", 2), mf.start_factors(r.select("item").distinct(), "item", 2), 4, 0.05)
     return mf.squared_error(r, users, items)
 
@@ -530,24 +531,17 @@ def mf_strata(spark, d):
 A, B = 0.1, 0.1
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """The rows written once, as what follows reads them several times."""
-    path = shared_folder(rows.sparkSession, "tokens")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 @query(f"WITH {TOKENS} SELECT word_id, topic, count(*) AS n FROM tokens GROUP BY 1, 2 UNION ALL SELECT -1, topic, count(*) FROM tokens GROUP BY topic")
 def ld_counts(spark, d):
     """LD-1, 11: word and topic counts."""
-    return ld.counts(_kept(tokens(spark, d)))
+    return ld.counts(token_blocks(spark, d))
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT DISTINCT doc_id % 10 AS batch, word_id FROM tokens), p AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY word_id) - 1) // 20 AS slice FROM w)
   SELECT batch, slice, count(*) AS n, min(word_id) AS first, max(word_id) AS last FROM p GROUP BY 1, 2""")
 def ld_vocab_slices(spark, d):
     """LD-2: a batch's vocabulary in slices of 20 words."""
-    words = tokens(spark, d).select((F.col("doc_id") % 10).alias("batch"), "word_id").distinct()
+    words = bl.to_tokens(token_blocks(spark, d)).select((F.col("doc_id") % 10).alias("batch"), "word_id").distinct()
     rows = with_position(words, "word_id", "i", ("batch",))
     return rows.groupBy("batch", F.floor(F.col("i") / 20).alias("slice")).agg(F.count("*").alias("n"), F.min("word_id").alias("first"), F.max("word_id").alias("last"))
 
@@ -558,42 +552,42 @@ def ld_vocab_slices(spark, d):
   SELECT doc_id, word_id, {', '.join(f'round(max(weight) FILTER (WHERE topic = {k}) / sum(weight), 6) AS p{k}' for k in range(TOPICS))} FROM w GROUP BY doc_id, word_id""")
 def ld_posterior(spark, d):
     """LD-4: topic posterior of every word of every document."""
-    return ld.posterior(_kept(tokens(spark, d)), TOPICS, A, B)
+    return ld.posterior(token_blocks(spark, d), TOPICS, A, B)
 
 
 @query(f"""WITH {TOKENS}, n AS (SELECT doc_id, topic, count(*) AS n FROM tokens GROUP BY 1, 2), p AS (SELECT doc_id, sum(n) AS total, count(*) AS used, sum(lgamma(n + {A})) AS s FROM n GROUP BY 1)
   SELECT round(sum(lgamma({TOPICS} * {A}) - {TOPICS} * lgamma({A}) + s + ({TOPICS} - used) * lgamma({A}) - lgamma(total + {TOPICS} * {A})), 3) AS llh FROM p""")
 def ld_doc_llh(spark, d):
     """LD-5, 8, 9."""
-    return ld.doc_likelihood(tokens(spark, d), TOPICS, A).select(F.round("llh", 3).alias("llh"))
+    return ld.doc_likelihood(ld.doc_counts(token_blocks(spark, d)), TOPICS, A).select(F.round("llh", 3).alias("llh"))
 
 
 @query(f"""WITH {TOKENS}, n AS (SELECT word_id, topic, count(*) AS n FROM tokens GROUP BY 1, 2), p AS (SELECT word_id, sum(lgamma(n + {B})) AS s, count(*) AS used FROM n GROUP BY 1)
   SELECT round(sum(s + ({TOPICS} - used) * lgamma({B})), 3) AS llh FROM p""")
 def ld_word_llh(spark, d):
     """LD-6."""
-    return ld.word_likelihood(tokens(spark, d), TOPICS, B).select(F.round("llh", 3).alias("llh"))
+    return ld.word_likelihood(ld.word_counts(token_blocks(spark, d)), TOPICS, B).select(F.round("llh", 3).alias("llh"))
 
 
 @query(f"""WITH {TOKENS}, v AS (SELECT count(DISTINCT word_id) AS v FROM tokens), n AS (SELECT topic, count(*) AS n FROM tokens GROUP BY 1)
   SELECT round({TOPICS} * (lgamma(v * {B}) - v * lgamma({B})) - sum(lgamma(n + v * {B})) - ({TOPICS} - count(*)) * lgamma(v * {B}), 3) AS llh FROM n, v GROUP BY v""")
 def ld_summary_llh(spark, d):
     """LD-7."""
-    t = _kept(tokens(spark, d))
-    return ld.summary_likelihood(t, TOPICS, ld.vocabulary_size(t), B).select(F.round("llh", 3).alias("llh"))
+    words = kept(ld.word_counts(token_blocks(spark, d)), "word-counts")
+    return ld.summary_likelihood(words, TOPICS, ld.vocabulary_size(words), B).select(F.round("llh", 3).alias("llh"))
 
 
 @query()
 def ld_gibbs(spark, d):
     """LD-3, 10: counts after a Gibbs sweep."""
-    return ld.counts(ld.gibbs_sweep(_kept(tokens(spark, d)), TOPICS, A, B, seed=5))
+    return ld.counts(ld.gibbs_sweep(token_blocks(spark, d), TOPICS, A, B, seed=5))
 
 
 @query()
 def ld_train(spark, d):
     """LD-3, 10, SNK-2: three sweeps, each of which appends its statistics; (iteration, llh)."""
     stats = shared_folder(spark, "lda-stats")
-    ld.train(_kept(tokens(spark, d)), TOPICS, A, B, 3, stats)
+    ld.train(token_blocks(spark, d), TOPICS, A, B, 3, stats)
     return spark.read.parquet(stats).select("iteration", F.round("llh", 3).alias("llh"))
 
 

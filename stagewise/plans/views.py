@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import with_position
-from ..sources.folders import shared_folder
+from ..operators import blocks as bl
+from ..sources.folders import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,17 +56,27 @@ POINTS = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
 TOPICS = 4
 
 
-def tokens(spark: SparkSession, sf_dir: str, topics: int = TOPICS) -> DataFrame:
-    """(doc_id, pos, word_id, topic) of every word, ids in the words' order; the first topic is arithmetic."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("pos", "word"))
+def _with_ids(words: DataFrame) -> DataFrame:
+    """Distinct words with ``word_id``, from 0 in the words' order."""
     # six bytes of a word are a number in the order of words; ties go by the whole word
     head = F.conv(F.rpad(F.hex(F.substring(F.encode("word", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
     # the vocabulary is written once, as its positions take several looks at it
-    folder = shared_folder(spark, "vocabulary")
-    words.select("word").distinct().withColumn("head", head).write.parquet(folder)
-    ids = with_position(spark.read.parquet(folder), "head", "word_id", tie=("word",)).drop("head")
-    out = words.join(ids, "word").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word_id")
-    return out.withColumn("topic", (F.col("doc_id") * 31 + F.col("pos") * 17 + F.col("word_id")) % topics)
+    return with_position(kept(words.withColumn("head", head), "vocabulary"), "head", "word_id", tie=("word",)).drop("head")
+
+
+def token_blocks(spark: SparkSession, sf_dir: str, topics: int = TOPICS) -> DataFrame:
+    """Every word of every document in blocks (``operators.blocks``), ids in the words' order; the first topic is arithmetic.
+
+    Words are told by their place in a block, so that each of a block's words
+    meets its id once; a document lies whole in one block.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if not documents.groupBy("doc_id").count().where("count > 1").isEmpty():
+        documents = documents.repartition("doc_id").sortWithinPartitions("doc_id", "text")
+    coded = kept(bl.coded(documents), "coded")
+    ids = _with_ids(coded.select(F.explode("words").alias("word")).distinct())
+    entries = coded.select("block", F.posexplode("words").alias("i", "word")).join(ids, "word").withColumnRenamed("word_id", "ids")
+    return kept(bl.start_topics(coded.drop("words").join(bl.gathered(entries, "i", "ids"), "block"), topics), "blocks")
 
 
 TOKENS = f"""t0 AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS words FROM documents)),
