@@ -2,7 +2,7 @@
 
 A block has runs of tokens (``doc``, first position ``start``, ``size``), which
 are whole documents one after another, then for each token its ``code``, the
-place of its word in ``ids``, and its ``topic``. What is known of words reaches a
+place of its word in ``ids``, and its ``topic``, both packed. What is known of words reaches a
 block by its own words, once each, so that tokens are never shuffled one by one.
 """
 
@@ -24,17 +24,40 @@ PIECE_BYTES = 1 << 22
 #: The topic of tokens that have none, as they have no doc_id.
 NONE = -(1 << 31)
 
-_RUNS = "block bigint, doc array<bigint>, start array<bigint>, size array<int>, code array<int>"
+_RUNS = "block bigint, doc array<bigint>, start array<bigint>, size array<int>, code binary"
 CODED = f"{_RUNS}, words array<string>"
-BLOCKS = f"{_RUNS}, ids array<bigint>, topic array<int>"
+BLOCKS = f"{_RUNS}, ids array<bigint>, topic binary"
 
 
-def _row(values: list) -> pa.RecordBatch:
-    """A row of a block's number and its arrays."""
+def pack(values: np.ndarray) -> bytes:
+    """32-bit numbers in few bytes: their first bytes, then their second ones, and so on, compressed."""
+    width = 4 if len(values) and values.min() < 0 else max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values, dtype="<i4").view(np.uint8).reshape(-1, 4)[:, :width]
+    return bytes([width]) + pa.compress(planes.T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed[1:], decompressed_size=n * packed[0], codec="zstd", asbytes=True), np.uint8)
+    out = np.zeros((n, 4), np.uint8)
+    out[:, : packed[0]] = planes.reshape(packed[0], n).T
+    return out.view("<i4").reshape(-1)
+
+
+def _told(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The code of each word and the words by code, frequent ones first."""
+    told = words.dictionary_encode()
+    codes = told.indices.to_numpy()
+    order = np.argsort(-np.bincount(codes, minlength=len(told.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return rank[codes], told.dictionary.take(pa.array(order))
+
+
+def _row(schema: str, values: list) -> pa.RecordBatch:
+    """A row of a block's number, arrays and packed bytes."""
     first, *rest = values
-    arrays = [pa.array(x) if isinstance(x, np.ndarray) else x for x in rest]
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays]
-    return pa.record_batch([pa.array([first], pa.int64()), *lists], names=[str(i) for i in range(len(values))])
+    lists = [pa.array([x], pa.binary()) if isinstance(x, bytes) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x) for x in rest]
+    return pa.record_batch([pa.array([first], pa.int64()), *lists], names=[c.split()[0] for c in schema.split(", ")])
 
 
 def _cut(pieces: Iterator[tuple]) -> Iterator[tuple]:
@@ -105,8 +128,8 @@ def coded(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (doc, start, size, words) in zip(_numbers(), _cut(_words(batches))):
-            told = words.dictionary_encode()
-            yield _row([k, doc, start, size, told.indices, told.dictionary]).rename_columns([c.split()[0] for c in CODED.split(", ")])
+            code, of = _told(words)
+            yield _row(CODED, [k, doc, start, size, pack(code), of])
 
     return rows.mapInArrow(run, CODED)
 
@@ -125,8 +148,8 @@ def from_tokens(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (doc, start, size, word, topic) in zip(_numbers(), _cut(pieces(batches))):
-            told = word.dictionary_encode()
-            yield _row([k, doc, start, size, told.indices, told.dictionary, topic]).rename_columns([c.split()[0] for c in BLOCKS.split(", ")])
+            code, of = _told(word)
+            yield _row(BLOCKS, [k, doc, start, size, pack(code), of, pack(topic.to_numpy())])
 
     rows = tokens.select(*(F.col(c).cast("bigint") for c in ("doc_id", "pos", "word_id", "topic")))
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "word_id", "topic").mapInArrow(run, BLOCKS)
@@ -137,10 +160,10 @@ class Block:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         self.number = batch["block"][i].as_py()
-        self.has = {c: batch[c][i].values for c in batch.schema.names if c != "block"}
-        self.docs = self.has["doc"]
-        self.start, self.size, self.code, self.ids = (self.has[c].to_numpy() for c in ("start", "size", "code", "ids"))
-        self.topic = self.has["topic"].to_numpy() if "topic" in self.has else None
+        self.has = {c: batch[c][i] for c in batch.schema.names}
+        self.docs = self.has["doc"].values
+        self.start, self.size, self.ids = (self.array(c) for c in ("start", "size", "ids"))
+        self.code, self.topic = (unpack(self.has[c].as_py(), int(self.size.sum())) if c in self.has else None for c in ("code", "topic"))
         self.key, self.known = pc.fill_null(self.docs, 0).to_numpy(zero_copy_only=False), pc.is_valid(self.docs).to_numpy(zero_copy_only=False)
         fresh = np.ones(len(self.key), bool)
         fresh[1:] = (self.key[1:] != self.key[:-1]) | (self.known[1:] != self.known[:-1])
@@ -148,6 +171,9 @@ class Block:
         self.first, self.of_run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         self.run = np.repeat(np.arange(len(self.size)), self.size)
 
+    def array(self, column: str) -> np.ndarray:
+        return self.has[column].values.to_numpy()
+
     def doc(self) -> np.ndarray:
         """The document of each token, from 0."""
         return self.of_run[self.run]
@@ -175,8 +201,7 @@ class Block:
         return np.bincount(group[ok].astype(np.int64) * topics + self.topic[ok], minlength=n * topics).reshape(n, topics)
 
     def with_topic(self, topic: np.ndarray) -> pa.RecordBatch:
-        arrays = [self.docs, self.start, self.size, self.has["code"], self.has["ids"], topic.astype(np.int32)]
-        return _row([self.number, *arrays]).rename_columns([c.split()[0] for c in BLOCKS.split(", ")])
+        return _row(BLOCKS, [self.number, self.docs, self.start, self.size, self.has["code"].as_py(), self.ids, pack(topic)])
 
 
 def per_block(blocks: DataFrame, run: Callable[[Block], pa.RecordBatch], schema: str) -> DataFrame:

@@ -93,9 +93,10 @@ def posterior(blocks: DataFrame, topics: int, alpha: float, beta: float) -> Data
 
     def run(b: Block) -> pa.RecordBatch:
         of, n = b.doc(), len(b.ids)
-        wk, dk = b.has["wk"].to_numpy().reshape(n, topics), b.of_topics(of, len(b.first), topics)
-        pair = np.unique(of * n + b.code)
-        doc, word = pair // n, pair % n
+        wk, dk = b.array("wk").reshape(n, topics), b.of_topics(of, len(b.first), topics)
+        # rows of a word together take less room than those of a document
+        pair = np.unique(b.code * np.int64(len(b.first)) + of)
+        word, doc = pair // len(b.first), pair % len(b.first)
         weights = [(dk[doc, k] + alpha) * (wk[word, k] + beta) / (nk[k] + floor) for k in range(topics)]
         total = sum(weights, np.zeros(len(pair)))
         return pa.record_batch([b.doc_ids(doc), b.ids[word], *(w / total for w in weights)], names=["doc_id", "word_id", *(f"p{k}" for k in range(topics))])
@@ -160,7 +161,7 @@ def gibbs_sweep(blocks: DataFrame, topics: int, alpha: float, beta: float, seed:
     floor = vocabulary_size(words) * beta
 
     def run(b: Block) -> pa.RecordBatch:
-        wk = b.has["wk"].to_numpy().reshape(len(b.ids), topics).astype(float)
+        wk = b.array("wk").reshape(len(b.ids), topics).astype(float)
         return b.with_topic(_swept(b, wk, nk, alpha, beta, floor, seed))
 
     return per_block(_with_counts(blocks, words, topics), run, BLOCKS)

@@ -18,7 +18,7 @@ def odd(spark, folder, rows=tuple(ODD)):
     return f"file://{folder}"
 
 
-@pytest.mark.parametrize("name", ["ld_counts", "ld_doc_llh", "ld_word_llh", "ld_summary_llh"])
+@pytest.mark.parametrize("name", ["ld_counts", "ld_posterior", "ld_doc_llh", "ld_word_llh", "ld_summary_llh"])
 def test_odd_documents_agree_with_sql(spark, tmp_path, name):
     df = catalogue.queries()[name](spark, odd(spark, tmp_path))
     con = duckdb.connect()
@@ -76,3 +76,9 @@ def test_blocks_end_with_documents(monkeypatch):
         assert [g[0].to_pylist() for g in got] == [[1, 1], [2, None, None], [3, 3, 3], [4]]
         assert [x for g in got for x in g[3].to_pylist()] == tokens.to_pylist()
         assert all(g[2].sum() == len(g[3]) for g in got)
+
+
+def test_packed_numbers_take_little_room():
+    for values in ([], [0], [255, 256, 3], [1 << 24, 5], [-3, bl.NONE, 7]):
+        assert bl.unpack(bl.pack(np.array(values, np.int32)), len(values)).tolist() == values
+    assert len(bl.pack(np.random.default_rng(1).integers(0, 4, 100_000).astype(np.int32))) < 40_000
