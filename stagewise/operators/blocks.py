@@ -134,6 +134,19 @@ def coded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, CODED)
 
 
+def words_of_sets(rows: DataFrame) -> DataFrame:
+    """(word, bits) of rows (number, text): the sum of 2 ^ number over the different numbers, below 63, of rows with the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, size, words in _cut(_words(batches)):
+            told = words.dictionary_encode()
+            bits = np.zeros(len(told.dictionary), np.int64)
+            np.bitwise_or.at(bits, told.indices.to_numpy(), np.repeat(np.int64(1) << number.to_numpy().astype(np.int64), size))
+            yield pa.record_batch([told.dictionary, bits], names=["word", "bits"])
+
+    return rows.mapInArrow(run, "word string, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
 def from_tokens(tokens: DataFrame) -> DataFrame:
     """Blocks of rows (doc_id, pos, word_id, topic)."""
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..config import StageConfig, parse_stages, store_update
 from ..functions.ranks import LATTICE, lattice, with_position
-from ..operators import blocks as bl
 from ..operators import clustering as km
 from ..operators import factorization as mf
 from ..operators import objectives as ob
@@ -17,7 +16,7 @@ from ..operators import topics as ld
 from ..sources.folders import kept, shared_folder
 from ..streaming.training import checkpoint_folder, stream_orders, train_on_stream
 from . import training as tr
-from .views import POINTS, RATINGS, SAMPLES_LINEITEM, SAMPLES_ORDERS, TOKENS, TOPICS, points, ratings, samples_lineitem, samples_orders, table, token_blocks
+from .views import POINTS, RATINGS, SAMPLES_LINEITEM, SAMPLES_ORDERS, TOKENS, TOPICS, points, ratings, samples_lineitem, samples_orders, table, token_blocks, word_batches
 
 Q, SQL = {}, {}
 
@@ -541,9 +540,10 @@ def ld_counts(spark, d):
   SELECT batch, slice, count(*) AS n, min(word_id) AS first, max(word_id) AS last FROM p GROUP BY 1, 2""")
 def ld_vocab_slices(spark, d):
     """LD-2: a batch's vocabulary in slices of 20 words."""
-    words = bl.to_tokens(token_blocks(spark, d)).select((F.col("doc_id") % 10).alias("batch"), "word_id").distinct()
-    rows = with_position(words, "word_id", "i", ("batch",))
-    return rows.groupBy("batch", F.floor(F.col("i") / 20).alias("slice")).agg(F.count("*").alias("n"), F.min("word_id").alias("first"), F.max("word_id").alias("last"))
+    rows = with_position(word_batches(spark, d, 10), "word_id", "i", ("class",))
+    batch = F.when(F.col("class") < 19, F.col("class") - 9).cast("bigint").alias("batch")
+    slices = rows.groupBy("class", F.floor(F.col("i") / 20).alias("slice")).agg(F.count("*").alias("n"), F.min("word_id").alias("first"), F.max("word_id").alias("last"))
+    return slices.select(batch, "slice", "n", "first", "last")
 
 
 @query(f"""WITH {TOKENS}, pairs AS (SELECT DISTINCT doc_id, word_id FROM tokens), k AS (SELECT range AS topic FROM range({TOPICS})),

@@ -79,6 +79,19 @@ def token_blocks(spark: SparkSession, sf_dir: str, topics: int = TOPICS) -> Data
     return kept(bl.start_topics(coded.drop("words").join(bl.gathered(entries, "i", "ids"), "block"), topics), "blocks")
 
 
+def word_batches(spark: SparkSession, sf_dir: str, batches: int = 10) -> DataFrame:
+    """(class, word_id) of the words of each batch doc_id % batches; class is the batch + batches - 1, and 2 batches - 1 where it is null.
+
+    A word's batches are bits of a number, so that its tokens are one row before they are shuffled.
+    """
+    if not 0 < batches <= 31:
+        raise ValueError("1 to 31 batches")
+    number = F.coalesce(F.col("doc_id") % batches + (batches - 1), F.lit(2 * batches - 1)).cast("bigint")
+    words = bl.words_of_sets(table(spark, sf_dir, "documents").select(number.alias("number"), "text"))
+    held = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << c) != 0, F.lit(c)) for c in range(2 * batches))))
+    return kept(_with_ids(words).select(F.explode(held).alias("class"), "word_id"), "word-batches")
+
+
 TOKENS = f"""t0 AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS words FROM documents)),
 ids AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM (SELECT DISTINCT word FROM t0)),
 tokens AS (SELECT doc_id, pos, word_id, (doc_id * 31 + pos * 17 + word_id) % {TOPICS} AS topic FROM t0 JOIN ids USING (word))"""

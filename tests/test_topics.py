@@ -18,7 +18,7 @@ def odd(spark, folder, rows=tuple(ODD)):
     return f"file://{folder}"
 
 
-@pytest.mark.parametrize("name", ["ld_counts", "ld_posterior", "ld_doc_llh", "ld_word_llh", "ld_summary_llh"])
+@pytest.mark.parametrize("name", ["ld_counts", "ld_vocab_slices", "ld_posterior", "ld_doc_llh", "ld_word_llh", "ld_summary_llh"])
 def test_odd_documents_agree_with_sql(spark, tmp_path, name):
     df = catalogue.queries()[name](spark, odd(spark, tmp_path))
     con = duckdb.connect()
