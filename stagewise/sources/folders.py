@@ -22,5 +22,5 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def kept(rows: DataFrame, name: str) -> DataFrame:
     """The rows written once, as what follows reads them several times."""
     path = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.parquet(path)

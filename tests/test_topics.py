@@ -36,6 +36,11 @@ def test_sweep_of_odd_documents_keeps_tokens(spark, tmp_path):
     assert {r.topic for r in got} <= set(range(4))
 
 
+def test_training_on_odd_documents_reports_each_sweep(spark, tmp_path):
+    got = catalogue.queries()["ld_train"](spark, odd(spark, tmp_path)).collect()
+    assert sorted(r.iteration for r in got) == [0, 1, 2] and all(np.isfinite(r.llh) for r in got)
+
+
 def test_sweep_agrees_with_a_loop(spark):
     rng = np.random.default_rng(4)
     tokens = [(d, p, int(rng.integers(12)), int(rng.integers(3))) for d in range(20) for p in range(int(rng.integers(1, 30)))]
